@@ -6,7 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import hosts, licenses, mixing
+from . import extract, fingerprint, hosts, licenses, mixing, tokenfile, toxicity
+
+
+def op1_multiset_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.fingerprint(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 def op2_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,5 +27,17 @@ def op5_license_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_host_reputation, op4_poisson_mix, op5_license_rules)}
+def op6_bit_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenfile.round_trip(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def op7_factorization_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op8_text_to_tag(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_multiset_fingerprint, op2_host_reputation, op4_poisson_mix, op5_license_rules, op6_bit_planes, op7_factorization_machine, op8_text_to_tag)}
 ORACLES: dict[str, str] = {}
