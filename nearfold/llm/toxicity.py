@@ -70,7 +70,7 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.margins(place, value, offsets).astype(np.float64), -40, 40)))
 
 
-def fit(place: np.ndarray, value: np.ndarray, offsets: np.ndarray, label: np.ndarray, bits: int, rank: int = 4, epochs: int = 16, rate: float = 0.1, decay: float = 1e-3, least: int | None = None, seed: int = 11) -> Model:
+def fit(place: np.ndarray, value: np.ndarray, offsets: np.ndarray, label: np.ndarray, bits: int, rank: int = 4, epochs: int = 16, rate: float = 0.1, decay: float = 2e-3, least: int | None = None, seed: int = 11) -> Model:
     """A model of rows of terms; terms in fewer than `least` rows (a 250th of all, 3 at least) are not learned from."""
     least = least or max(3, len(label) // 250)
     size = 1 << bits
