@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import extract, fingerprint, hosts, licenses, mixing, tokenfile, toxicity
+from . import ego, extract, fingerprint, hosts, licenses, mixing, tjoin, tokenfile, toxicity
 
 
 def op1_multiset_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,5 +39,13 @@ def op8_text_to_tag(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_multiset_fingerprint, op2_host_reputation, op4_poisson_mix, op5_license_rules, op6_bit_planes, op7_factorization_machine, op8_text_to_tag)}
+def op9_epsilon_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ego.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op10_t_occurrence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tjoin.join(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_multiset_fingerprint, op2_host_reputation, op4_poisson_mix, op5_license_rules, op6_bit_planes, op7_factorization_machine, op8_text_to_tag, op9_epsilon_grid, op10_t_occurrence)}
 ORACLES: dict[str, str] = {}
