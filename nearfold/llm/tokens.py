@@ -63,6 +63,8 @@ class WordEncoder:
             raise ValueError(f"{path} holds no BPE model")
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.words = words
+        #: Whether some id needs more than 16 bits.
+        self.large = self.tokenizer.get_vocab_size() > 1 << 16
         self.spaced = self.tokenizer.normalizer is None
         #: Parts after a space, and parts that begin a text or stand whole.
         self.after, self.first = _Parts(self._learn_after), _Parts(self._learn_first)
