@@ -65,7 +65,7 @@ def prepared(metric: Metric, x: np.ndarray) -> np.ndarray:
 def sample_matrix(rows: DataFrame, most: int = TRAIN_ROWS) -> np.ndarray:
     """A bounded sample, chosen by a hash of the id, in the order of that hash."""
     got = rows.select("id", "vector").orderBy(F.xxhash64("id"), "id").limit(most).toArrow()
-    return np.array(got["vector"].to_pylist(), np.float64).reshape(got.num_rows, -1)
+    return np.array(got["vector"].to_pylist(), np.float64).reshape(got.num_rows, -1 if got.num_rows else 1)
 
 
 def assign(rows: DataFrame, centres: np.ndarray, metric: Metric) -> DataFrame:
