@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ego, extract, fingerprint, hosts, licenses, mixing, packing, tjoin, tokenfile, toxicity
+from . import ego, extract, fingerprint, hosts, licenses, mixing, oracles, packing, tjoin, tokenfile, toxicity
 
 
 def op1_multiset_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,4 +52,4 @@ def op10_t_occurrence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_multiset_fingerprint, op2_host_reputation, op3_bm25_packing, op4_poisson_mix, op5_license_rules, op6_bit_planes, op7_factorization_machine, op8_text_to_tag, op9_epsilon_grid, op10_t_occurrence)}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op2_host_reputation": oracles.OP2, "op4_poisson_mix": oracles.OP4, "op9_epsilon_grid": oracles.OP9, "op10_t_occurrence": oracles.OP10}
