@@ -1,8 +1,8 @@
 """Connected components of a table of links, by alternating large-star and small-star steps over written tables.
 
-Links are first contracted within each Arrow batch by union-find, which leaves a forest. Every step is an aggregation
-by node and an equi-join, so no neighbourhood is ever held in one place; the tables of each step lie in the shared
-folder, and the loop ends when a step changes nothing.
+Before each step links are contracted within Arrow batches of bounded size by union-find, which leaves a forest. Every
+step is an aggregation by node and an equi-join, so no neighbourhood is ever held in one place; the tables of each step
+lie in the shared folder, and the loop ends when every node has one link, to the smallest of its component.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, written
+from .common import arrow_rows, column, written
 
 
 class Forest:
@@ -57,33 +57,44 @@ def _contract_batches(batches):
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
-def _state(edges: DataFrame) -> tuple:
-    # addition of scrambled links tells two sets of links apart without moving them
-    return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b") % 1_000_000_007)).first())
+#: Links that one Arrow batch holds, and about as many as a task is given.
+BATCH = 100_000
+
+
+def _contracted(edges: DataFrame, count: int) -> DataFrame:
+    """The same components in fewer links, contracted batch by batch, in a table of few files."""
+    spark = edges.sparkSession
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    arrow_rows(spark, BATCH)
+    try:
+        return written(edges.coalesce(max(1, -(-count // BATCH))).mapInArrow(_contract_batches, "a long, b long"), "links")
+    finally:
+        arrow_rows(spark, int(before))
+
+
+def _settled(edges: DataFrame) -> bool:
+    """Whether every node has one link, to a node that has none."""
+    if not edges.groupBy("a").count().where("count > 1").isEmpty():
+        return False
+    return edges.select("b").distinct().join(edges.select(F.col("a").alias("b")), "b", "left_semi").isEmpty()
 
 
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     """node, component (the smallest node reachable) of every node that some link (a, b) joins to another."""
-    edges = links.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).where("a <> b").mapInArrow(_contract_batches, "a long, b long")
-    edges = written(edges.distinct(), "links")  # each from the larger node to the smaller
-    before = _state(edges)
+    edges = written(links.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).where("a <> b"), "links")
     for _ in range(rounds):
-        if not before[0]:
+        edges = _contracted(edges, edges.count())  # each from the larger node to the smaller
+        if _settled(edges):
             break
         # large star: every neighbour larger than a node is linked to the node's smallest neighbour
         both = edges.union(edges.select("b", "a")).toDF("u", "v")
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        large = _contracted(large, edges.count())
         # small star: a node's smaller neighbours, and the node, are linked to the smallest of them
-        large = written(large, "large")
         least = large.groupBy("a").agg(F.min("b").alias("m"))
-        joined = large.join(least, "a")
-        small = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
-        edges = written(small, "links")
-        after = _state(edges)
-        if after == before and edges.groupBy("a").count().where("count > 1").isEmpty():
-            break
-        before = after
+        edges = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
+        edges = written(edges, "links")
     else:
         raise RuntimeError(f"components did not settle within {rounds} rounds")
     roots = edges.select(F.col("b").alias("node")).distinct().select("node", F.col("node").alias("component"))
