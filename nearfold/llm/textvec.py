@@ -92,7 +92,7 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int = 5) -> tuple[np.
     total = np.zeros(m, _U)
     size = span[text]
     factor = 1
-    for j in range(k):
+    for j in range(min(k, m)):
         total[: m - j] += np.where(size[: m - j] > j, hashes[j:], _U(0)) * _U(factor)
         factor = factor * _BASE % (1 << 64)
     total = mix(total + size.astype(_U) * _STEP)

@@ -163,6 +163,28 @@ def _blob_rows(dealt):
     return pa.RecordBatch.from_arrays([pa.array([s for s, _ in dealt], pa.int32()), pa.array([b for _, b in dealt], pa.binary())], names=["shard", "blob"])
 
 
+def _by_ref(refs: np.ndarray, values: np.ndarray, buckets: int):
+    """One row for each bucket of refs, with refs and values (64 bits each) packed."""
+    bucket = (refs.view(_U) % _U(buckets)).astype(np.int64)
+    order = np.lexsort((refs, bucket))
+    refs, values, bucket = refs[order], values[order], bucket[order]
+    edges = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1], True]) if len(bucket) else []
+    return _blob_rows([(int(bucket[i]), np.array([j - i], np.int64).tobytes() + refs[i:j].tobytes() + values[i:j].tobytes()) for i, j in zip(edges, edges[1:])])
+
+
+def _unpacked(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    refs, values = [np.zeros(0, np.int64)], [np.zeros(0, _U)]
+    for blob in blobs:
+        n = int(np.frombuffer(blob, np.int64, 1)[0])
+        refs.append(np.frombuffer(blob, np.int64, n, 8))
+        values.append(np.frombuffer(blob, _U, n, 8 + 8 * n))
+    return np.concatenate(refs), np.concatenate(values)
+
+
+def _dealt(rows: DataFrame, shards: int) -> DataFrame:
+    return rows.repartition(shards, "shard").sortWithinPartitions("shard")
+
+
 def _screen(docs: DataFrame, shards: int) -> DataFrame:
     """ref and how many shingles of the screened share it may have in common with other classes (at least)."""
 
@@ -183,12 +205,20 @@ def _screen(docs: DataFrame, shards: int) -> DataFrame:
             refs, _low, _level = _levels(blobs, 2)
             if len(refs):
                 own, count = np.unique(refs, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(count)], names=["ref", "m"])
+                yield _by_ref(own, count.astype(_U), shards)
+
+        return _by_shard(batches, of)
+
+    def add(batches):
+        def of(_, blobs):
+            refs, counts = _unpacked(blobs)
+            own, place = np.unique(refs, return_inverse=True)
+            yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(np.bincount(place, counts.astype(np.float64)).astype(np.int64))], names=["ref", "m"])
 
         return _by_shard(batches, of)
 
-    dealt = docs.select("text").mapInArrow(deal, "shard int, blob binary").repartition(shards, "shard").sortWithinPartitions("shard")
-    return dealt.mapInArrow(collect, "ref long, m long").groupBy("ref").agg(F.sum("m").alias("m"))
+    dealt = _dealt(docs.select("text").mapInArrow(deal, "shard int, blob binary"), shards)
+    return _dealt(dealt.mapInArrow(collect, "shard int, blob binary"), shards).mapInArrow(add, "ref long, m long")
 
 
 def _rarest(sets: DataFrame, shards: int) -> DataFrame:
@@ -207,43 +237,46 @@ def _rarest(sets: DataFrame, shards: int) -> DataFrame:
     def collect(batches):
         def of(shard, blobs):
             refs, low, level = _levels(blobs, 255)
-            if not len(refs):
-                return
-            keys = (level.astype(_U) << _U(56)) | (_U(shard & 0xFFFF) << _U(40)) | low
-            order = np.argsort(refs, kind="stable")
-            refs, keys = refs[order], keys[order]
-            edges = np.flatnonzero(np.r_[True, refs[1:] != refs[:-1], True])
-            for i in range(0, len(edges) - 1, 20_000):
-                e = edges[i : i + 20_001]
-                yield pa.RecordBatch.from_arrays([pa.array(refs[e[:-1]]), pa.array([keys[a:b].tobytes() for a, b in zip(e, e[1:])], pa.binary())], names=["ref", "keys"])
+            if len(refs):
+                yield _by_ref(refs, (level.astype(_U) << _U(56)) | (_U(shard & 0xFFFF) << _U(40)) | low, shards)
 
         return _by_shard(batches, of)
 
-    def stars(batches):
-        """Rarest shingles of each class; classes of one batch that share one are linked here, and one of them goes on."""
+    def sizes(batches):
         for batch in batches:
-            keys, owner, refs = [], [], column(batch, "ref").to_numpy()
-            for i, (n, own) in enumerate(zip(column(batch, "n").to_pylist(), column(batch, "all_keys").to_pylist())):
-                own = np.unique(np.frombuffer(b"".join(own), _U))
-                take = spare(n) + 1 - (n - len(own))
-                if take > 0:
-                    keys.append(own[:take])
-                    owner.append(np.full(len(keys[-1]), i))
-            if not keys:
-                continue
-            keys, owner = np.concatenate(keys), np.concatenate(owner)
-            order = np.lexsort((refs[owner], keys))
-            keys, owner = keys[order], refs[owner[order]]
+            if batch.num_rows:  # level 0 marks a size
+                yield _by_ref(column(batch, "ref").to_numpy(), column(batch, "n").to_numpy().astype(_U), shards)
+
+    def stars(batches):
+        """Rarest shingles of each class; classes of one bucket that share one are linked here, and one of them goes on."""
+
+        def of(_, blobs):
+            refs, values = _unpacked(blobs)
+            order = np.lexsort((values, refs))
+            refs, values = refs[order], values[order]
+            new = np.r_[True, (refs[1:] != refs[:-1]) | (values[1:] != values[:-1])]
+            refs, values = refs[new], values[new]
+            begin = np.flatnonzero(np.r_[True, refs[1:] != refs[:-1]])  # the size comes first
+            lens = np.diff(np.r_[begin, len(refs)]) - 1
+            n = values[begin].astype(np.int64)
+            take = np.clip(spare(n) + 1 - (n - lens), 0, lens)
+            pick = concat_ranges(begin + 1, take)
+            keys, owner = values[pick], refs[pick]
+            if not len(keys):
+                return
+            order = np.lexsort((owner, keys))
+            keys, owner = keys[order], owner[order]
             first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
             head = np.repeat(owner[first], np.diff(np.r_[first, len(keys)]))
             a, b = contract(owner, head)
             yield pa.RecordBatch.from_arrays([pa.array(np.r_[keys[first].view(np.int64), a]), pa.array(np.r_[owner[first], b]), pa.array(np.repeat([True, False], [len(first), len(a)]))], names=["a", "b", "is_key"])
 
-    dealt = sets.select("ref", "hashes").mapInArrow(deal, "shard int, blob binary").repartition(shards, "shard").sortWithinPartitions("shard")
-    back = dealt.mapInArrow(collect, "ref long, keys binary").groupBy("ref").agg(F.collect_list("keys").alias("all_keys"))
-    arrow_rows(sets.sparkSession, 500)
-    found = written(back.join(sets.select("ref", "n"), "ref").mapInArrow(stars, "a long, b long, is_key boolean"), "stars")
-    arrow_rows(sets.sparkSession, 1000)
+        return _by_shard(batches, of)
+
+    kind = "shard int, blob binary"
+    dealt = _dealt(sets.select("ref", "hashes").mapInArrow(deal, kind), shards)
+    back = dealt.mapInArrow(collect, kind).union(sets.select("ref", "n").mapInArrow(sizes, kind))
+    found = written(_dealt(back, shards).mapInArrow(stars, "a long, b long, is_key boolean"), "stars")
     keyed = found.where("is_key").select(F.col("a").alias("key"), "b")
     heads = keyed.groupBy("key").agg(F.min("b").alias("head"))
     return found.where("NOT is_key").select("a", "b").union(keyed.join(heads, "key").where("b <> head").select(F.col("b").alias("a"), F.col("head").alias("b")))
