@@ -117,6 +117,53 @@ class CodeBooks:
         return total if metric is Metric.L2 else -total if metric is Metric.DOT else 1 - total
 
 
+def ivf_batch(rows: DataFrame, queries: list[tuple[int, list[float]]], centres: np.ndarray, metric: Metric, k: int, probes: int) -> DataFrame:
+    """query_id, rank, id, distance of the k nearest among the rows of each query's nearest cells, exactly ranked."""
+    names, matrix = np.array([q for q, _ in queries], np.int64), np.array([v for _, v in queries], np.float64)
+    asked = np.zeros((len(queries), len(centres)), bool)
+    for i, q in enumerate(matrix):
+        asked[i, probe_order(metric, centres, q)[:probes]] = True
+    shared = rows.sparkSession.sparkContext.broadcast((names, matrix, asked, centres))
+
+    def of(batches):
+        names, matrix, asked, centres = shared.value
+        best = S.Best(len(names), k)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+            own = matrix_distances(Metric.L2, prepared(metric, x), centres).argmin(1)
+            for cell in np.unique(own):
+                at, who = np.flatnonzero(own == cell), np.flatnonzero(asked[:, cell])
+                best.add(who, ids[at], matrix_distances(metric, x[at], matrix[who]))
+        yield from best.batches(names)
+
+    return S.merged_best(rows.select("id", "vector").mapInArrow(of, S.BEST), k)
+
+
+def pq_batch(rows: DataFrame, queries: list[tuple[int, list[float]]], books: CodeBooks, metric: Metric, k: int, again: int = 10) -> DataFrame:
+    """query_id, rank, id, distance: the again * k best rows of each query by code distance, ranked by exact distance."""
+    names, matrix = np.array([q for q, _ in queries], np.int64), np.array([v for _, v in queries], np.float64)
+    shared = rows.sparkSession.sparkContext.broadcast((names, prepared(metric, matrix), books))
+
+    def of(batches):
+        names, unit, books = shared.value
+        best = S.Best(len(names), again * k)
+        for batch in batches:
+            if batch.num_rows:
+                x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+                codes = books.encode(prepared(metric, x))
+                distances = np.stack([books.distances(codes, q, metric) for q in unit], axis=1)
+                best.add(np.arange(len(names)), batch.column(0).to_numpy(zero_copy_only=False), distances)
+        yield from best.batches(names)
+
+    found = S.merged_best(rows.select("id", "vector").mapInArrow(of, S.BEST), again * k).select("query_id", "id")
+    asked = rows.sparkSession.createDataFrame([(q, [float(x) for x in v]) for q, v in queries], "query_id long, query array<double>")
+    exact = found.join(rows.select("id", "vector"), "id").join(F.broadcast(asked), "query_id")
+    return S.merged_best(exact.select("query_id", "id", S.distance(metric, F.col("vector"), F.col("query")).alias("distance")), k)
+
+
 class VectorIndex:
     """Rows (id, vector) in a folder and at most one index over them."""
 

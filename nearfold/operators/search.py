@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..errors import DimensionMismatch, SchemaViolation
-from ..functions.distance import distance_to, matrix_distances
+from ..functions.distance import distance, distance_to, matrix_distances
 from ..functions.values import metadata_json
 from ..plans.admission import GATE, AdmissionGate
 from ..plans.predicates import Predicate, compile_predicate, from_json, selectivity_categories, validate
@@ -113,58 +113,76 @@ def profile_counts(log: DataFrame, tombstones: DataFrame | None, predicate: Colu
     return rows.agg(F.count(F.lit(1)).alias("total_rows"), matched.alias("matched_rows")).withColumn("returned_rows", F.least("matched_rows", F.lit(k).cast("long")))
 
 
-def _best(distance: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    """Places of the k smallest by (distance, id)."""
-    if len(ids) > 4 * k:
-        bar = np.partition(distance, k - 1)[k - 1]
-        some = np.flatnonzero((distance <= bar) | np.isnan(distance))
-        return some[np.lexsort((ids[some], distance[some]))][:k]
-    return np.lexsort((ids, distance))[:k]
+BEST = "query_id long, id long, distance double"
+
+
+class Best:
+    """The k nearest rows of each of n queries so far."""
+
+    def __init__(self, n: int, k: int):
+        self.k = k
+        self.ids = [np.zeros(0, np.int64)] * n
+        self.near = [np.zeros(0)] * n
+
+    def add(self, who: np.ndarray, ids: np.ndarray, distances: np.ndarray) -> None:
+        """Rows with their distances to the queries numbered who, a column for each."""
+        ids = ids.astype(np.int64, copy=False)
+        if len(ids) > 4 * self.k:  # all but the k nearest and their ties go at once
+            bars = np.partition(distances, self.k - 1, axis=0)[self.k - 1]
+        else:
+            bars = np.full(len(who), np.inf)
+        for c, j in enumerate(who):
+            bar = bars[c] if len(self.near[j]) < self.k else min(bars[c], self.near[j][-1])
+            some = np.flatnonzero(~(distances[:, c] > bar))
+            if len(some):
+                near, own = np.r_[self.near[j], distances[some, c]], np.r_[self.ids[j], ids[some]]
+                best = np.lexsort((own, near))[: self.k]
+                self.near[j], self.ids[j] = near[best], own[best]
+
+    def batches(self, names: np.ndarray):
+        lens = [len(x) for x in self.ids]
+        if sum(lens):
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(names, lens)), pa.array(np.concatenate(self.ids)), pa.array(np.concatenate(self.near))], names=["query_id", "id", "distance"])
+
+
+def merged_best(found: DataFrame, k: int) -> DataFrame:
+    """query_id, rank (from 1), id, distance of the k nearest of each query; ties by id."""
+    order = Window.partitionBy("query_id").orderBy("distance", "id")
+    return found.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k).select("query_id", "rank", "id", "distance")
 
 
 def batch_knn(rows: DataFrame, queries: list[tuple[int, list[float]]], metric: Metric, k: int, zero_norm: float = 1.0, digits: int | None = None) -> DataFrame:
     """query_id, rank (from 1), id, distance: the k nearest rows of every query; ties by id.
 
-    Each task multiplies its Arrow batches with the matrix of queries, keeps k rows a query, and one shuffle of those
-    by query_id merges the tasks' results.
+    Each task multiplies its Arrow batches with a block of queries, keeps k rows a query, and one shuffle of those by
+    query_id merges the tasks' results. More queries than QUERY_BYTES hold take more blocks.
     """
     if not queries:
         return rows.sparkSession.createDataFrame([], "query_id long, rank long, id long, distance double")
-    dim = len(queries[0][1])
-    each = max(1, QUERY_BYTES // (8 * dim))
-    found = None
-    for at in range(0, len(queries), each):
-        part = _knn_part(rows, queries[at : at + each], metric, k, zero_norm, digits)
-        found = part if found is None else found.union(part)
-    order = Window.partitionBy("query_id").orderBy("distance", "id")
-    return found.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k).select("query_id", "rank", "id", "distance")
+    each = max(1, QUERY_BYTES // (8 * len(queries[0][1])))
+    parts = [_knn_block(rows, queries[at : at + each], metric, k, zero_norm, digits) for at in range(0, len(queries), each)]
+    found = parts[0]
+    for part in parts[1:]:
+        found = found.union(part)
+    return merged_best(found, k)
 
 
-def _knn_part(rows: DataFrame, queries, metric: Metric, k: int, zero_norm: float, digits: int | None) -> DataFrame:
+def _knn_block(rows: DataFrame, queries, metric: Metric, k: int, zero_norm: float, digits: int | None) -> DataFrame:
     names = np.array([q for q, _ in queries], np.int64)
     matrix = rows.sparkSession.sparkContext.broadcast(np.array([v for _, v in queries], np.float64))
 
     def of(batches):
-        q = matrix.value
-        ids = [np.zeros(0, np.int64)] * len(q)
-        near = [np.zeros(0)] * len(q)
+        best, everyone = Best(len(names), k), np.arange(len(names))
         for batch in batches:
-            own = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            for i in range(0, len(own), 2048):
-                vectors = batch.column(1).slice(i, 2048)
+            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            for i in range(0, len(ids), 4096):
+                vectors = batch.column(1).slice(i, 4096)
                 block = vectors.flatten().to_numpy(zero_copy_only=False).reshape(len(vectors), -1)
-                d = matrix_distances(metric, block, q, zero_norm)
-                if digits is not None:
-                    d = np.round(d, digits) + 0.0
-                for j in range(len(q)):
-                    all_d, all_i = np.r_[near[j], d[:, j]], np.r_[ids[j], own[i : i + 2048]]
-                    best = _best(all_d, all_i, k)
-                    near[j], ids[j] = all_d[best], all_i[best]
-        lens = [len(x) for x in ids]
-        if sum(lens):
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(names, lens)), pa.array(np.concatenate(ids)), pa.array(np.concatenate(near))], names=["query_id", "id", "distance"])
+                d = matrix_distances(metric, block, matrix.value, zero_norm)
+                best.add(everyone, ids[i : i + 4096], d if digits is None else np.round(d, digits) + 0.0)
+        yield from best.batches(names)
 
-    return rows.select("id", "vector").mapInArrow(of, "query_id long, id long, distance double")
+    return rows.select("id", "vector").mapInArrow(of, BEST)
 
 
 def ground_truth(rows: DataFrame, queries: list[tuple[int, list[float]]], metric: Metric, k: int, zero_norm: float = float("inf"), digits: int | None = None) -> DataFrame:

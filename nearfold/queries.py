@@ -17,7 +17,7 @@ from .functions.values import colour_index, crc32, literal_column, metadata_json
 from .operators import analytics as A
 from .operators import lifecycle as C
 from .operators import search as S
-from .operators.index import CodeBooks, assign, kmeans, label_centres, prepared, sample_matrix
+from .operators.index import CodeBooks, assign, ivf_batch, kmeans, label_centres, pq_batch, prepared, sample_matrix
 from .plans import ladder as L
 from .plans import predicates as P
 from .sources import datagen
@@ -145,9 +145,9 @@ def knn_hits_json(spark, sf_dir):
     return S.hits(S.nearest(rows, query_vector(rows), Metric.COSINE, 10, digits=6), schema)
 
 
-@register("exact_oracle_zero_norm", "SELECT id, CASE WHEN id = 0 THEN CAST('inf' AS DOUBLE) ELSE 0.0 END AS oracle, CASE WHEN id = 0 THEN 1.0 ELSE 0.0 END AS engine FROM (SELECT vec_id AS id FROM embeddings WHERE vec_id < 5)")
+@register("exact_oracle_zero_norm", "SELECT vec_id AS id, CASE WHEN label = 0 THEN CAST('inf' AS DOUBLE) ELSE 0.0 END AS oracle, CASE WHEN label = 0 THEN 1.0 ELSE 0.0 END AS engine FROM embeddings")
 def exact_oracle_zero_norm(spark, sf_dir):
-    rows = vt(spark, sf_dir).where("id < 5").select("id", F.array(F.col("id").cast("float"), F.lit(0.0).cast("float")).alias("vector"))
+    rows = vt(spark, sf_dir).select("id", F.array(F.col("label").cast("float"), F.lit(0.0).cast("float")).alias("vector"))
     of = lambda zero: F.round(S.distance_to(Metric.COSINE, F.col("vector"), [1.0, 0.0], zero), 6) + F.lit(0.0)
     return rows.select("id", of(float("inf")).alias("oracle"), of(1.0).alias("engine"))
 
@@ -164,16 +164,16 @@ def l2_expanded(spark, sf_dir):
     return rows.select("id", (F.round(expanded_l2(F.col("vector"), q), 6) + F.lit(0.0)).alias("expanded"), (F.round(distance(Metric.L2, F.col("vector"), q), 6) + F.lit(0.0)).alias("direct"))
 
 
-@register("profile_search", f"WITH vt AS ({VT}) SELECT count(*) AS total_rows, count(*) FILTER (label = 3 AND rank % 4 <> 0) AS matched_rows, least(count(*) FILTER (label = 3 AND rank % 4 <> 0), 10) AS returned_rows FROM vt")
+@register("profile_search", f"WITH vt AS ({VT}) SELECT count(*) AS total_rows, count(*) FILTER (active AND label <> 3) AS matched_rows, least(count(*) FILTER (active AND label <> 3), 10) AS returned_rows FROM vt")
 def profile_search(spark, sf_dir):
     rows = vt(spark, sf_dir).withColumn("generation", F.col("id"))
-    tombs = rows.where("rank % 4 = 0").select("id", "generation")
-    return S.profile_counts(rows, tombs, P.compile_predicate(P.eq("label", 3), SCHEMA), 10)
+    tombs = rows.where("label = 3").select("id", "generation")
+    return S.profile_counts(rows, tombs, P.compile_predicate(P.eq("active", True), SCHEMA), 10)
 
 
 # -- many queries ------------------------------------------------------------------------------------------------
 
-_PAIRS = "SELECT q.vec_id AS query_id, e.vec_id AS id, e.label, round(1.0 - list_inner_product(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) / (sqrt(list_inner_product(CAST(e.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[]))) * sqrt(list_inner_product(CAST(q.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])))), 6) + 0.0 AS distance FROM embeddings e, embeddings q WHERE q.vec_id % 5 = 0 AND q.vec_id < 500"
+_PAIRS = "SELECT q.vec_id AS query_id, e.vec_id AS id, e.label, round(1.0 - list_inner_product(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) / (sqrt(list_inner_product(CAST(e.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[]))) * sqrt(list_inner_product(CAST(q.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])))), 6) + 0.0 AS distance FROM embeddings e, embeddings q WHERE q.vec_id % 20 = 0"
 
 
 def batch_sql(where: str = "true", k: int = 10) -> str:
@@ -181,8 +181,8 @@ def batch_sql(where: str = "true", k: int = 10) -> str:
 
 
 def batch_queries(rows: DataFrame) -> list[tuple[int, list[float]]]:
-    """A stated set of queries: the ids below 500 that are divisible by 5."""
-    return [(r["id"], list(r["vector"])) for r in rows.where("id % 5 = 0 AND id < 500").select("id", "vector").orderBy("id").collect()]
+    """The stated set of queries: every row whose id is divisible by 20, against all rows."""
+    return [(r["id"], list(r["vector"])) for r in rows.where("id % 20 = 0").select("id", "vector").orderBy("id").collect()]
 
 
 @register("batch_knn", batch_sql())
@@ -405,25 +405,30 @@ def ivf_kmeans(spark, sf_dir):
     return assign(rows, centres, Metric.COSINE).groupBy("partition_id").agg(F.count(F.lit(1)).alias("rows"))
 
 
-@register("pq_search")
-def pq_search(spark, sf_dir):
-    """Ten nearest to one vector by product-quantised codes, with their exact distances."""
-    import numpy as np
-    import pyarrow as pa
+@register("ivf_recall")
+def ivf_recall(spark, sf_dir):
+    """Recall of ten neighbours from six of eight cells, query by query."""
+    rows = vt(spark, sf_dir)
+    q = batch_queries(rows)
+    found = ivf_batch(rows, q, kmeans(prepared(Metric.COSINE, sample_matrix(rows)), 8), Metric.COSINE, 10, 6)
+    return A.recall(found, S.batch_knn(rows, q, Metric.COSINE, 10))
+
 
+@register("pq_recall")
+def pq_recall(spark, sf_dir):
+    """Recall of ten neighbours from product-quantised codes, re-ranked by exact distance, query by query."""
     rows = vt(spark, sf_dir)
-    q = query_vector(rows)
+    q = batch_queries(rows)
     books = CodeBooks.fit(prepared(Metric.COSINE, sample_matrix(rows)), 16)
-    unit = prepared(Metric.COSINE, np.array([q]))[0]
+    return A.recall(pq_batch(rows, q, books, Metric.COSINE, 10), S.batch_knn(rows, q, Metric.COSINE, 10))
 
-    def score(batches):
-        for batch in batches:
-            if batch.num_rows:
-                x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(books.distances(books.encode(prepared(Metric.COSINE, x)), unit, Metric.COSINE))], names=["id", "vector", "approximate"])
 
-    found = rows.select("id", "vector").mapInArrow(score, "id long, vector array<float>, approximate double").orderBy("approximate", "id").limit(10)
-    return found.select("id", "approximate", S.distance_to(Metric.COSINE, F.col("vector"), q).alias("distance"))
+@register("pq_search")
+def pq_search(spark, sf_dir):
+    """Ten nearest to one vector by product-quantised codes and exact re-ranking."""
+    rows = vt(spark, sf_dir)
+    books = CodeBooks.fit(prepared(Metric.COSINE, sample_matrix(rows)), 16)
+    return pq_batch(rows, [(0, query_vector(rows))], books, Metric.COSINE, 10)
 
 
 # -- statistics --------------------------------------------------------------------------------------------------

@@ -39,3 +39,10 @@ def test_entry(spark):
 
     assert entry.entry(spark).count() == 10
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+@pytest.mark.parametrize("name", ["ivf_recall", "pq_recall"])
+def test_recall_of_indexes(name, spark):
+    from pyspark.sql import functions as F
+
+    assert QUERIES[name](spark, "/root/testdata/sf0.1").agg(F.avg("recall")).first()[0] >= 0.9
