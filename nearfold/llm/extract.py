@@ -39,8 +39,15 @@ OUT_WORDS = frozenset(
     "comment comments commentlist discussion disqus respond replies reply reactions share sharing social related recommended recommendations widget widgets "
     "pagination pager copyright disclaimer paywall hidden".split()
 )
-#: Containers that are judged by those words; the article and what it consists of are not.
-JUDGED = frozenset("div section ul ol dl table p span li figure details center blockquote fieldset h2 h3 h4 h5 h6 a td tr".split())
+#: Those of them that are believed of a heading, a paragraph or a piece of a line too, and those not believed within an article.
+NARROW_WORDS = OUT_WORDS & frozenset(
+    "ad ads adv advert adverts advertisement advertisements advertising sponsor sponsored sponsors promo promos promotion notice notices cookie cookies consent newsletter "
+    "breadcrumb breadcrumbs comment comments disqus respond share sharing copyright disclaimer".split()
+)
+OF_ARTICLE = frozenset(("header", "masthead"))
+#: Elements that are judged by the words; the article, and what else it consists of, are not.
+CONTAINERS = frozenset("div section ul ol dl table figure details center fieldset aside".split())
+NARROW = frozenset("p span li blockquote h2 h3 h4 h5 h6 a td tr small".split())
 _SPACE = re.compile(r"\s+")
 _CAMEL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
 _PART = re.compile(r"[^A-Za-z0-9]+")
@@ -55,8 +62,10 @@ def _left_out(tag: str, attrs, within_article: bool) -> bool:
     for name, value in attrs:
         if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and value and _HIDDEN.search(value):
             return True
-        if name in ("class", "id", "role") and value and tag in JUDGED:
-            if any(w.lower() in OUT_WORDS for w in _PART.split(_CAMEL.sub("-", value))):
+        if name in ("class", "id", "role") and value and (tag in CONTAINERS or tag in NARROW):
+            known = OUT_WORDS if tag in CONTAINERS else NARROW_WORDS
+            words = {w.lower() for w in _PART.split(_CAMEL.sub("-", value))}
+            if words & known - (OF_ARTICLE if within_article else frozenset()):
                 return True
     return False
 
