@@ -520,7 +520,24 @@ def checksums(spark, sf_dir):
     return one.select(crc32(F.lit("123456789").cast("binary")).alias("crc"), colour_index(F.lit("a")).cast("long").alias("colour"))
 
 
-@register("datagen_uniform")
+def _splitmix_sql(name: str, seed: int, count: int) -> str:
+    """CTEs that end in `name`: draw number i and its 64 bits z."""
+    return (
+        f"{name}0 AS (SELECT i, (({seed}::UHUGEINT + (i + 1)::UHUGEINT * 11400714819323198485::UHUGEINT) % 18446744073709551616::UHUGEINT)::UBIGINT AS z FROM range({count}) AS r(i)), "
+        f"{name}1 AS (SELECT i, (xor(z, z >> 30)::UHUGEINT * 13787848793156543929::UHUGEINT % 18446744073709551616::UHUGEINT)::UBIGINT AS z FROM {name}0), "
+        f"{name}2 AS (SELECT i, (xor(z, z >> 27)::UHUGEINT * 10723151780598845931::UHUGEINT % 18446744073709551616::UHUGEINT)::UBIGINT AS z FROM {name}1), "
+        f"{name} AS (SELECT i, xor(z, z >> 31) AS z FROM {name}2)"
+    )
+
+
+_UNIFORM = (
+    f"WITH {_splitmix_sql('x', datagen.stream_seed(42, datagen.CORPUS), 16_000)}, {_splitmix_sql('y', datagen.stream_seed(42, datagen.CATEGORY), 1000)}, "
+    "v AS (SELECT i // 16 AS id, list(((z >> 40)::DOUBLE / 16777216)::FLOAT ORDER BY i) AS vector FROM x GROUP BY i // 16) "
+    "SELECT id, vector, CAST(z % 10 AS INTEGER) AS category FROM v JOIN y ON y.i = id"
+)
+
+
+@register("datagen_uniform", _UNIFORM)
 def datagen_uniform(spark, sf_dir):
     return datagen.uniform_rows(spark, 1000, 16, 10, 42)
 
