@@ -98,7 +98,7 @@ def near_duplicates(embeddings: DataFrame, cosine: float = 0.93, sample: int = 1
     classes = written(keyed.groupBy("key", "label", "vec").agg(F.min("vec_id").alias("id"), F.count(F.lit(1)).alias("copies")).withColumn("dim", (F.length("vec") / 4).cast("int")), "classes")
     bases = {}
     picked = classes.orderBy("key").limit(sample).select("dim", "vec").toArrow()
-    for dim in {int(r["dim"]) for r in classes.select("dim").distinct().limit(1000).collect()}:
+    for dim in set(picked["dim"].to_pylist()):
         own = [v for d, v in zip(picked["dim"].to_pylist(), picked["vec"].to_pylist()) if d == dim]
         bases[dim] = principal(unit(own, dim), DIMS) if len(own) > 1 else np.eye(dim)[:, :DIMS]
     epsilon = float(np.sqrt(2 - 2 * cosine))
