@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import DimensionMismatch, SchemaViolation
-from ..functions.distance import matrix_distances
+from ..functions.distance import distance, distance_to, matrix_distances
 from ..plans import ladder as L
 from ..types import Metric
 from . import search as S
@@ -102,7 +102,7 @@ class CodeBooks:
 
     @classmethod
     def fit(cls, points: np.ndarray, sub_vectors: int, codes: int = 256, seed: int = 23) -> CodeBooks:
-        return cls([kmeans(part, codes, seed + i) for i, part in enumerate(np.split(points, sub_vectors, axis=1))])
+        return cls([kmeans(part, codes, seed + i, 8) for i, part in enumerate(np.split(points, sub_vectors, axis=1))])
 
     def encode(self, x: np.ndarray) -> np.ndarray:
         parts = np.split(x, len(self.books), axis=1)
@@ -161,7 +161,7 @@ def pq_batch(rows: DataFrame, queries: list[tuple[int, list[float]]], books: Cod
     found = S.merged_best(rows.select("id", "vector").mapInArrow(of, S.BEST), again * k).select("query_id", "id")
     asked = rows.sparkSession.createDataFrame([(q, [float(x) for x in v]) for q, v in queries], "query_id long, query array<double>")
     exact = found.join(rows.select("id", "vector"), "id").join(F.broadcast(asked), "query_id")
-    return S.merged_best(exact.select("query_id", "id", S.distance(metric, F.col("vector"), F.col("query")).alias("distance")), k)
+    return S.merged_best(exact.select("query_id", "id", distance(metric, F.col("vector"), F.col("query")).alias("distance")), k)
 
 
 class VectorIndex:
@@ -271,7 +271,7 @@ class VectorIndex:
 
         found = parts.select("id", "codes").mapInArrow(score, "id long, distance double")
         if uncovered is not None:
-            found = found.union(uncovered.select("id", S.distance_to(metric, F.col("vector"), vector).alias("distance")))
+            found = found.union(uncovered.select("id", distance_to(metric, F.col("vector"), vector).alias("distance")))
         return found.orderBy("distance", "id").limit(knobs.top_k)
 
     # ladder

@@ -8,10 +8,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions.distance import distance, expanded_l2, norm
+from .functions.distance import distance, distance_to, expanded_l2, norm
 from .functions.ranking import global_rank
 from .functions.values import colour_index, crc32, literal_column, metadata_json
 from .operators import analytics as A
@@ -134,7 +135,7 @@ def knn_filter_rules(spark, sf_dir):
 @register("knn_ties", f"WITH vt AS ({VT}) SELECT id, round(abs(CAST(vector[1] AS DOUBLE)), 1) + 0.0 AS distance FROM vt ORDER BY distance, id LIMIT 25")
 def knn_ties(spark, sf_dir):
     rows = vt(spark, sf_dir).select("id", F.array(F.round(F.abs(F.col("vector")[0].cast("double")), 1)).alias("vector"))
-    found = rows.withColumn("distance", F.round(F.sqrt(S.distance_to(Metric.L2, F.col("vector"), [0.0])), 6) + F.lit(0.0))
+    found = rows.withColumn("distance", F.round(F.sqrt(distance_to(Metric.L2, F.col("vector"), [0.0])), 6) + F.lit(0.0))
     return found.orderBy("distance", "id").limit(25).select("id", "distance")
 
 
@@ -148,7 +149,7 @@ def knn_hits_json(spark, sf_dir):
 @register("exact_oracle_zero_norm", "SELECT vec_id AS id, CASE WHEN label = 0 THEN CAST('inf' AS DOUBLE) ELSE 0.0 END AS oracle, CASE WHEN label = 0 THEN 1.0 ELSE 0.0 END AS engine FROM embeddings")
 def exact_oracle_zero_norm(spark, sf_dir):
     rows = vt(spark, sf_dir).select("id", F.array(F.col("label").cast("float"), F.lit(0.0).cast("float")).alias("vector"))
-    of = lambda zero: F.round(S.distance_to(Metric.COSINE, F.col("vector"), [1.0, 0.0], zero), 6) + F.lit(0.0)
+    of = lambda zero: F.round(distance_to(Metric.COSINE, F.col("vector"), [1.0, 0.0], zero), 6) + F.lit(0.0)
     return rows.select("id", of(float("inf")).alias("oracle"), of(1.0).alias("engine"))
 
 
@@ -356,16 +357,12 @@ _NEAR = "round(list_inner_product(a, a) + list_inner_product(centre, centre) - 2
 _ASSIGN = f"{_CENTRES}, a AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS a FROM embeddings), n AS (SELECT id, arg_min(centre_id, ({_NEAR}, centre_id)) AS centre_id FROM a, c GROUP BY id)"
 
 
-def _assigned(rows: DataFrame, dim: int = DIM) -> tuple[DataFrame, DataFrame]:
-    """Rows with the nearest label's centre, by column expressions; and the centres (one a label)."""
+def _assigned(rows: DataFrame, dim: int = DIM) -> tuple[DataFrame, list]:
+    """id, vector and the nearest label's centre of every row, and the centres (one a label)."""
     centres = label_centres(rows, "label", dim).orderBy("centre_id").collect()
-    d = [F.struct(F.round(expanded_plain(F.col("vector"), c["centre"]), 9).alias("d"), F.lit(c["centre_id"]).alias("centre_id")) for c in centres]
-    return rows.withColumn("centre_id", F.array_min(F.array(*d))["centre_id"]), centres
-
-
-def expanded_plain(vector, centre):
-    own = F.transform(vector, lambda x: x.cast("double"))
-    return expanded_l2(own, F.array(*[F.lit(float(x)) for x in centre]))
+    names = F.array(*[F.lit(c["centre_id"]) for c in centres])
+    placed = assign(rows, np.array([c["centre"] for c in centres]), Metric.L2)
+    return placed.select("id", "vector", names[F.col("partition_id")].alias("centre_id")), centres
 
 
 @register("ivf_assign", f"WITH {_ASSIGN} SELECT id, centre_id FROM n")
