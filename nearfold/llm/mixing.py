@@ -7,7 +7,7 @@ document is exploded by its count, and a hash of seed, document and repetition o
 
 Null sources are one source of their own, null texts count as empty; repeated rows draw alike. A source without
 characters keeps rate `factor`. Rates above `most` are refused, as every source's table of probabilities has a proven
-size. An input column that clashes with an output's name is replaced.
+size. An input column that clashes with an output's name is replaced; a prefix keeps them apart.
 """
 
 from __future__ import annotations
@@ -50,8 +50,8 @@ def rates(docs: DataFrame, weights: dict[str, float] | None = None, alpha: float
     return sums.withColumn("rate", F.when(F.col("chars") > 0, F.col("weight") * scale / F.col("chars")).otherwise(F.lit(float(factor))))
 
 
-def replicate(docs: DataFrame, weights: dict[str, float] | None = None, alpha: float = 0.7, factor: float = 1.0, seed: int = 7, most: float = 50.0, digits: int = 6) -> DataFrame:
-    """The columns of docs, with repetition, copies, rate and shuffle_key, in the order of shuffle_key over all partitions."""
+def replicate(docs: DataFrame, weights: dict[str, float] | None = None, alpha: float = 0.7, factor: float = 1.0, seed: int = 7, most: float = 50.0, digits: int = 6, prefix: str = "") -> DataFrame:
+    """The columns of docs, with repetition, copies, rate and shuffle_key (after prefix), in the order of shuffle_key over all partitions."""
     from .common import partitions
 
     spark = docs.sparkSession
@@ -59,19 +59,17 @@ def replicate(docs: DataFrame, weights: dict[str, float] | None = None, alpha: f
     if len(known) > 100_000 or any(r["rate"] > most for r in known):
         raise ValueError(f"more than 100000 sources, or a rate above {most}: the table of probabilities would not stay small")
     tables = [(r["source"], r["rate"], poisson_table(r["rate"])) for r in known]
-    table = spark.createDataFrame(tables, "mix_source string, mix_rate double, mix_table array<double>")
+    repetition, copies, rate, shuffle_key = (prefix + n for n in ("repetition", "copies", "rate", "shuffle_key"))
+    own = {n: f"_mixing_{n}" for n in ("source", "rate", "table", "number", "key", "copies")}
+    table = spark.createDataFrame(tables, f"{own['source']} string, {own['rate']} double, {own['table']} array<double>")
     text = F.coalesce(F.col("text"), F.lit(""))
     key = F.concat_ws("|", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.md5(text))
-    copies = F.size(F.filter("mix_table", lambda p: p <= F.col("mix_u")))
-    kept = [c for c in docs.columns if c not in ("repetition", "copies", "rate", "shuffle_key")]
+    kept = [f"`{c}`" for c in docs.columns if c not in (repetition, copies, rate, shuffle_key)]
     drawn = (
-        docs.select(*kept).withColumn("mix_u", uniform(key)).withColumn("mix_key", key)
-        .join(F.broadcast(table), F.col("source").eqNullSafe(F.col("mix_source")), "left")
-        .withColumn("copies", copies.cast("long")).where("copies > 0")
-        .withColumn("repetition", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
-    )
-    order = F.conv(F.substring(F.md5(F.concat_ws("|", "mix_key", F.lit("order"), F.col("repetition").cast("string"))), 1, 15), 16, 10).cast("long")
-    return (
-        drawn.select(*kept, "repetition", "copies", F.col("mix_rate").alias("rate"), order.alias("shuffle_key"))
-        .repartitionByRange(partitions(spark), "shuffle_key").sortWithinPartitions("shuffle_key")
+        docs.select(*kept, uniform(key).alias(own["number"]), key.alias(own["key"]))
+        .join(F.broadcast(table), F.col("source").eqNullSafe(F.col(own["source"])), "left")
+        .withColumn(own["copies"], F.size(F.filter(own["table"], lambda p: p <= F.col(own["number"]))).cast("long")).where(F.col(own["copies"]) > 0)
+        .select(*kept, own["key"], F.col(own["copies"]).alias(copies), F.col(own["rate"]).alias(rate), F.explode(F.sequence(F.lit(1).cast("long"), F.col(own["copies"]))).alias(repetition))
     )
+    order = F.conv(F.substring(F.md5(F.concat_ws("|", own["key"], F.lit("order"), F.col(repetition).cast("string"))), 1, 15), 16, 10).cast("long")
+    return drawn.select(*kept, repetition, copies, rate, order.alias(shuffle_key)).repartitionByRange(partitions(spark), shuffle_key).sortWithinPartitions(shuffle_key)

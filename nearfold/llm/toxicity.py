@@ -163,8 +163,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 8000, bits: int = 18
     return fit_calibrated(place, value, offsets, rows["label"].to_numpy().astype(np.float64), bits, **options)
 
 
-def score(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
-    """The columns of docs (text among them), with score and predicted."""
+def score(docs: DataFrame, model: Model, threshold: float = 0.7, names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
+    """The columns of docs (text among them), with score and predicted under the names given; columns of docs with those names go."""
     spark = docs.sparkSession
     arrow_rows(spark, 1000)
     shared = spark.sparkContext.broadcast(model)
@@ -177,11 +177,11 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
             for i, j in slices(offsets):
                 out[i:j] = model.scores(*terms(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], model.bits))
             arrays = [column(batch, c) for c in kept] + [pa.array(out), pa.array((out >= threshold).astype(np.int32))]
-            yield pa.RecordBatch.from_arrays(arrays, names=[*kept, "score", "predicted"])
+            yield pa.RecordBatch.from_arrays(arrays, names=[*kept, *names])
 
-    docs = docs.drop("score", "predicted")
+    docs = docs.drop(*names)
     kept = docs.columns
-    schema = StructType([*docs.schema.fields, StructField("score", DoubleType()), StructField("predicted", IntegerType())])
+    schema = StructType([*docs.schema.fields, StructField(names[0], DoubleType()), StructField(names[1], IntegerType())])
     return docs.mapInArrow(of, schema)
 
 
