@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import arrow_rows, column, concat_ranges, partitions, scratch_path
-from .tokens import encoder, vocabulary
+from .tokens import encoder, ended, vocabulary
 
 #: The usual constants of BM25.
 K1, B = 1.2, 0.75
@@ -42,14 +42,12 @@ def tokenized(docs: DataFrame, vocab: str, end_id: int, window: int) -> DataFram
         for batch in batches:
             for i in range(0, batch.num_rows, 500):
                 part = batch.slice(i, 500)
-                ids, offsets = codec.encode(column(part, "text").to_pylist())
-                n, crcs, rest = [], [], []
-                for a, b in zip(offsets, offsets[1:]):
-                    own = np.append(ids[a:b], np.uint32(end_id))
-                    full = len(own) // window
-                    n.append(len(own))
-                    crcs.append([_crc(own[window * k : window * (k + 1)]) for k in range(full)])
-                    rest.append(own[window * full :].astype("<u4" if codec.large else "<u2").tobytes())
+                ids, offsets = ended(*codec.encode(column(part, "text").to_pylist()), end_id)
+                small = ids.astype("<u4" if codec.large else "<u2")
+                n = np.diff(offsets)
+                cuts = offsets[:-1] + n // window * window
+                rest = [small[a:b].tobytes() for a, b in zip(cuts.tolist(), offsets[1:].tolist())]
+                crcs = [[_crc(ids[k : k + window]) for k in range(a, b, window)] if a < b else [] for a, b in zip(offsets.tolist(), cuts.tolist())]
                 yield pa.RecordBatch.from_arrays([column(part, "doc_id").cast(pa.int64()), pa.array(n, pa.int64()), pa.array(crcs, pa.list_(pa.int64())), pa.array(rest, pa.binary())], names=["doc_id", "n", "crcs", "rest"])
 
     path = scratch_path(spark, "tokens")
@@ -64,13 +62,20 @@ def statistics(tokens: DataFrame, kind: str) -> tuple[np.ndarray, np.ndarray, fl
     def of(batches):
         count, length, docs = np.zeros(0, np.int64), 0, 0
         for batch in batches:
-            for raw in column(batch, "rest").to_pylist():
-                own = np.unique(np.frombuffer(raw, kind))
-                if len(own):
-                    if own[-1] >= len(count):
-                        count = np.concatenate([count, np.zeros(int(own[-1]) + 1, np.int64)])
-                    count[own] += 1
-                    length, docs = length + len(raw) // np.dtype(kind).itemsize, docs + 1
+            raw = column(batch, "rest").to_pylist()
+            ids = np.frombuffer(b"".join(raw), kind)
+            lens = np.array([len(x) for x in raw], np.int64) // np.dtype(kind).itemsize
+            if len(ids):
+                joint = (np.repeat(np.arange(len(raw)), lens) << 32) | ids
+                joint.sort()
+                own = joint[np.r_[True, joint[1:] != joint[:-1]]] & 0xFFFFFFFF
+                found = np.bincount(own)
+                if len(found) > len(count):
+                    found[: len(count)] += count
+                    count = found
+                else:
+                    count[: len(found)] += found
+                length, docs = length + len(ids), docs + int((lens > 0).sum())
         some = np.flatnonzero(count)
         yield pa.RecordBatch.from_arrays([pa.array(np.r_[-2, -1, some], pa.int64()), pa.array(np.r_[docs, length, count[some]], pa.int64())], names=["term", "n"])
 
@@ -186,25 +191,21 @@ def pack(docs: DataFrame, vocab: str | None = None, end_id: int = 1, window: int
 
         def done():
             nonlocal sequence
-            out = [[] for _ in range(7)]
-
-            def add(doc, start, ids_crc, length, offset):
-                for c, v in zip(out, (doc[0], start, length, ids_crc, doc[1], (now << 24) + sequence, offset)):
-                    c.append(v)
-
-            for doc in rows:
-                for w, crc in enumerate(doc[2]):
-                    add(doc, window * w, crc, window, 0)
+            out, base = [], now << 24
+            for doc_id, n, crcs, _ in rows:
+                for w, crc in enumerate(crcs):
+                    out.append((doc_id, window * w, window, crc, n, base + sequence, 0))
                     sequence += 1
             rests = [r for r in rows if len(r[3])]
             if rests:
                 for pieces in windows([r[3] for r in rests], idf, mean, window, query_terms):
                     offset = 0
                     for d, a, b in pieces:
-                        add(rests[d], window * len(rests[d][2]) + a, _crc(rests[d][3][a:b]), b - a, offset)
+                        doc_id, n, crcs, ids = rests[d]
+                        out.append((doc_id, window * len(crcs) + a, b - a, _crc(ids[a:b]), n, base + sequence, offset))
                         offset += b - a
                     sequence += 1
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
         for batch in batches:
             for row in zip(*(column(batch, c).to_pylist() for c in ("shard", "doc_id", "n", "crcs", "rest"))):

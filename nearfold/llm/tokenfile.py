@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import NULL_KEY, arrow_rows, column, key_splits, partitions, scratch_path
-from .tokens import encoder, vocabulary
+from .tokens import encoder, ended, vocabulary
 
 MAGIC = b"NFBP1\n"
 _STEPS = [(7, 0x00AA00AA00AA00AA), (14, 0x0000CCCC0000CCCC), (28, 0x00000000F0F0F0F0)]
@@ -191,11 +191,8 @@ def write(docs: DataFrame, folder: str, vocab: str, end_id: int, per_partition:
                     stream = files.open_output_stream(name + ".tmp")
                     writer = Writer(stream)
                 part = batch.slice(i, j - i)
-                ids, offsets = codec.encode(column(part, "text").to_pylist())
-                n = np.diff(offsets)
-                ended = np.full(len(ids) + len(n), end_id, np.uint32)
-                ended[np.arange(len(ids)) + np.repeat(np.arange(len(n)), n)] = ids
-                writer.add(column(part, "doc_id").to_pylist(), n + 1, ended)
+                ids, offsets = ended(*codec.encode(column(part, "text").to_pylist()), end_id)
+                writer.add(column(part, "doc_id").to_pylist(), np.diff(offsets), ids)
         if writer:
             yield done()
 

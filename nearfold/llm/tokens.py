@@ -53,7 +53,7 @@ class WordEncoder:
     Plain words go straight to the file's BPE model; every other part goes through the whole tokenizer.
     """
 
-    def __init__(self, path: str, words: int = 500_000):
+    def __init__(self, path: str, words: int = 1_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -69,6 +69,7 @@ class WordEncoder:
         #: Parts after a space, and parts that begin a text or stand whole.
         self.after, self.first = _Parts(self._learn_after), _Parts(self._learn_first)
         self.flat, self.starts = array("I"), array("q", [0])
+        self.marks: dict[str, list[int]] = {}
         self.met = np.zeros(0, np.int64)
 
     def _add(self, ids: list[int]) -> int:
@@ -90,7 +91,12 @@ class WordEncoder:
         if marks:
             at = self.after[letters]
             ids = self.flat[self.starts[at] : self.starts[at + 1]]
-            ids.extend([t.id for t in self.model.tokenize(marks)])
+            tail = self.marks.get(marks)
+            if tail is None:
+                tail = [t.id for t in self.model.tokenize(marks)]
+                if len(self.marks) < 10_000:
+                    self.marks[marks] = tail
+            ids.extend(tail)
             return self._add(ids)
         word = " " + letters if self.spaced else letters.lower()
         return self._add([t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(_BYTES))])
@@ -153,6 +159,14 @@ def encoder(path: str) -> WordEncoder:
     return _ENCODERS[path]
 
 
+def ended(ids: np.ndarray, offsets: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+    """The same with an end id after each text."""
+    n = np.diff(offsets)
+    out = np.full(len(ids) + len(n), end_id, np.uint32)
+    out[np.arange(len(ids)) + np.repeat(np.arange(len(n)), n)] = ids
+    return out, offsets + np.arange(len(offsets))
+
+
 def vocabulary(name: str) -> str:
     import public_tokenizers
 
