@@ -53,7 +53,7 @@ class WordEncoder:
     Plain words go straight to the file's BPE model; every other part goes through the whole tokenizer.
     """
 
-    def __init__(self, path: str, words: int = 1_000_000):
+    def __init__(self, path: str, words: int = 700_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
