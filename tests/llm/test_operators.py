@@ -152,6 +152,26 @@ def test_mixing(odd, spark):
         mixing.replicate(many, {"a": 1.0, "b": 0.0}, factor=40.0)
 
 
+def test_mixing_takes_any_rate_and_any_number_of_sources(spark):
+    small = spark.range(3).selectExpr("id AS doc_id", "'x' AS text", "'small' AS source")
+    large = spark.range(20).selectExpr("id + 10 AS doc_id", "repeat('word ', 400000) AS text", "'large' AS source")
+    df = small.union(large)
+    rate = {r["source"]: r["rate"] for r in mixing.rates(df).collect()}["small"]
+    copies = [r["copies"] for r in mixing.replicate(df).where("source = 'small' AND repetition = 1").collect()]
+    assert rate > 50 and len(copies) == 3 and all(abs(c - rate) < 6 * rate**0.5 for c in copies)
+    mean = 160.0
+    numbers = np.array([0.001, 0.25, 0.5, 0.9, 0.99999])
+    table = np.array(mixing.poisson_table(mean, 1e-9))
+    assert mixing.counts(np.full(5, mean), numbers).tolist() == np.searchsorted(table, numbers, "right").tolist()
+    assert abs(mixing.counts(np.array([1e9]), np.array([0.5]))[0] - 1e9) <= 2
+    many = spark.range(100_500).selectExpr("id AS doc_id", "'xy' AS text", "if(id % 3 = 0, null, concat('s', id)) AS source")
+    drawn = mixing.replicate(many).groupBy("doc_id").count().count()
+    want = sum(r["n_docs"] * (1 - np.exp(-r["rate"])) for r in mixing.rates(many).collect())
+    assert abs(drawn - want) < 700
+    two = mixing.replicate(spark.createDataFrame([(1, "x", "a")], "doc_id long, text string, source string"), factor=200_000.0)
+    assert two.count() == two.selectExpr("max(repetition)").first()[0] == two.selectExpr("max(copies)").first()[0] > 190_000
+
+
 # 5
 
 WORDS = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
