@@ -22,16 +22,24 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each group; one of exactly repeated rows; every row without a doc_id."""
+    """One row of each group, of its smallest doc_id; one of exactly repeated rows without words; every row without a doc_id."""
     from nearfold.llm.common import written
 
-    found = written(tjoin.join(docs), "groups")
+    found = written(tjoin.classed(docs), "groups")
+    small = lambda ids: F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
     gone = found.where("doc_id <> component_id").select("doc_id").distinct()
-    if gone.count() <= BROADCAST_IDS:
-        gone = F.broadcast(gone)
-    left = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    repeated = found.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1")
-    return left if repeated.isEmpty() else left.where("doc_id IS NOT NULL").dropDuplicates(["doc_id", "text"]).union(left.where("doc_id IS NULL"))
+    repeated = found.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    if repeated.isEmpty():
+        return docs.join(small(gone), "doc_id", "left_anti").select(*docs.columns)
+    # a repeated doc_id may have several texts, each with a group of its own: its rows stay or go by the class of their text
+    repeated = small(written(repeated, "repeated"))
+    once = docs.join(repeated, "doc_id", "left_anti").join(small(gone), "doc_id", "left_anti").select(*docs.columns)
+    many = docs.join(repeated, "doc_id", "left_semi").withColumn("_dedup_ref", F.arrow_udf(tjoin.refs, "long")("text"))
+    own = found.join(repeated, "doc_id", "left_semi")
+    stay = own.where("n_shingles > 0 AND doc_id = component_id").groupBy("doc_id", "component").agg(F.min("ref").alias("_dedup_ref")).select("doc_id", "_dedup_ref")
+    first = many.join(stay, ["doc_id", "_dedup_ref"], "left_semi").groupBy("doc_id", "_dedup_ref").agg(F.min_by(F.struct(*docs.columns), "text").alias("_dedup_row"))
+    wordless = many.join(own.where("n_shingles = 0").select("doc_id", F.col("ref").alias("_dedup_ref")).distinct(), ["doc_id", "_dedup_ref"], "left_semi")
+    return once.union(first.select("_dedup_row.*")).union(wordless.dropDuplicates(["doc_id", "text"]).select(*docs.columns))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

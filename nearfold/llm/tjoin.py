@@ -358,8 +358,21 @@ def _search_task(key, table):
     return pa.table({"a": pa.array(ids[other], pa.int64()), "b": pa.array(ids[roots[other]], pa.int64())})
 
 
+def refs(text: pa.Array) -> pa.Array:
+    """The class of each text, as classed() names it."""
+    out = [np.zeros(0, np.int64)]
+    for _ in _sets([pa.RecordBatch.from_arrays([text], names=["text"])], lambda batch, i, j, hashes, offsets: iter([out.append(_ref(hashes, offsets))])):
+        pass
+    return pa.array(np.concatenate(out))
+
+
 def join(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of docs (doc_id, text)."""
+    return classed(docs).select("doc_id", "n_shingles", "component_id")
+
+
+def classed(docs: DataFrame) -> DataFrame:
+    """The columns of join(), and of every row the name of its text's class (ref) and one of its component's (component)."""
     spark = docs.sparkSession
     arrow_rows(spark, 1000)
     shards = min(partitions(spark), 65_536)
@@ -399,11 +412,13 @@ def join(docs: DataFrame) -> DataFrame:
     placed = placed.withColumn("own", own).select("ref", "block", "chunks", "own", F.explode(pairs).alias("pair"))
     task = F.when(F.col("chunks") == 1, F.concat(F.lit("bin "), F.pmod(F.xxhash64("block"), F.lit(bins)).cast("string"))).otherwise(F.concat_ws(" ", "block", "pair.x", "pair.y"))
     side = F.when(F.col("pair.x") == F.col("pair.y"), -1).when(F.col("own") == F.col("pair.x"), 0).otherwise(1)
-    work = placed.select("ref", task.alias("task"), side.cast("int").alias("side")).join(sets.select("ref", "id", "hashes"), "ref").select("task", "side", "id", "hashes")
+    work = placed.select("ref", task.alias("task"), side.cast("int").alias("side")).join(sets.select("ref", "id", "hashes"), "ref").select("task", "side", F.col("ref").alias("id"), "hashes")  # classes of one doc_id's texts may have the same id
     # 3: search within each task
     links = written(work.groupBy("task").applyInArrow(_search_task, "a long, b long"), "found")
-    found = components(links).select(F.col("node").alias("id"), F.col("component").alias("component_id"))
-    classes = known.join(found, "id", "left").select("ref", F.coalesce("component_id", "id").alias("component_id"))
+    found = written(components(links).select(F.col("node").alias("ref"), "component").join(sets.select("ref", "id"), "ref"), "components")
+    smallest = found.groupBy("component").agg(F.min("id").alias("component_id"))
+    found = found.join(smallest, "component").select("ref", "component", "component_id")
+    classes = known.join(found, "ref", "left").select("ref", F.coalesce("component", "ref").alias("component"), F.coalesce("component_id", "id").alias("component_id"))
     whole_id = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     rows = info.join(classes, "ref", "left")
-    return rows.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), whole_id).alias("component_id"))
+    return rows.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), whole_id).alias("component_id"), "ref", "component")

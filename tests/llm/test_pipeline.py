@@ -1,5 +1,5 @@
 import corpus_pipeline as P
-from nearfold.llm import mixing, packing, toxicity
+from nearfold.llm import mixing, packing, tjoin, toxicity
 
 from .helpers import SF, clashing, groups, odd_documents
 
@@ -37,3 +37,13 @@ def test_stages_on_odd_rows(spark, tmp_path):
     once = P.drop_near_duplicates(spark, docs, SF)
     assert once.where("doc_id = 5 AND text = 'dup id'").count() == 1 and once.where("doc_id IS NULL").count() == 2
     assert once.where("doc_id IN (2003, 2004)").count() == 1 and once.where("doc_id IN (2000, 2001, 2002)").count() == 3
+
+
+def test_each_text_of_a_repeated_id_has_its_own_group(spark):
+    x, y, z = (" ".join(f"{c}{i}" for i in range(60)) for c in "xyz")
+    rows = [(3, x), (5, x), (5, y), (7, y + " more"), (20, z), (21, z + " end"), (21, x + " last"), (21, "alone with words of its own"), (30, "a b c d e f g"), (30, "A  b c d e f g"), (30, ""), (30, ""), (30, None), (None, x), (None, x)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted((r["doc_id"], r["component_id"]) for r in tjoin.join(docs).where("doc_id IN (5, 21)").collect()) == [(5, 3), (5, 5), (21, 3), (21, 20), (21, 21)]
+    got = sorted(((r["doc_id"], r["text"]) for r in P.drop_near_duplicates(spark, docs, SF).collect()), key=str)
+    want = [(3, x), (5, y), (20, z), (21, "alone with words of its own"), (30, "A  b c d e f g"), (30, ""), (30, None), (None, x), (None, x)]
+    assert got == sorted(want, key=str)
