@@ -11,6 +11,8 @@ ignored. A row's work grows with its own text only; no row is shuffled.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,9 +23,6 @@ BASE = [("gnu general public license", "gpl"), ("apache license", "apache"), ("c
 #: Between words: every ASCII character that is no digit and no letter.
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WORD = r"[0-9A-Za-z\x{80}-\x{10FFFF}]+"
-#: What some keyword needs to stand in a text.
-GATE = r"(?i)licen[cs]|spdx|gnu|copyleft|copying|rights reserved|public domain|permission is hereby|redistribution|warrant|cc[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+(?:by|0|zero)|creative"
-
 #: Family, keyword, name over words, versions (number words -> label), SPDX words, words of its web address.
 FAMILIES = [
     ("apache", "apache", r"apache(?: software)? licen[cs]e", {"2 0": "apache-2.0", "1 1": "apache-1.1", "1 0": "apache-1.0"}, "apache", r"apache org licenses"),
@@ -51,9 +50,12 @@ FAMILIES = [
     ("pddl", "public domain dedication", r"public domain dedication and licen[cs]e", {"1 0": "pddl-1.0"}, "pddl", r"opendatacommons org licenses pddl"),
     ("ofl", "open font", r"sil open font licen[cs]e", {"1 1": "ofl-1.1", "1 0": "ofl-1.0"}, "ofl", r"scripts sil org ofl"),
     ("cecill", "cecill", r"cecill(?: free software)? licen[cs]e", {"2 1": "cecill-2.1", "2 0?": "cecill-2.0"}, "cecill", r"cecill info licences"),
-    ("cc-by-nc-nd", "noncommercial", r"(?:creative commons|cc) (?:by|attribution) (?:nc|noncommercial|non commercial) (?:nd|noderivatives|no derivatives|noderivs)", {"4 0": "cc-by-nc-nd-4.0", "3 0": "cc-by-nc-nd-3.0"}, "cc by nc nd", r"creativecommons org licenses by nc nd"),
-    ("cc-by-nc-sa", "noncommercial", r"(?:creative commons|cc) (?:by|attribution) (?:nc|noncommercial|non commercial) (?:sa|sharealike|share alike)", {"4 0": "cc-by-nc-sa-4.0", "3 0": "cc-by-nc-sa-3.0"}, "cc by nc sa", r"creativecommons org licenses by nc sa"),
-    ("cc-by-nc", "noncommercial", r"(?:creative commons|cc) (?:by|attribution) (?:nc|noncommercial|non commercial)", {"4 0": "cc-by-nc-4.0", "3 0": "cc-by-nc-3.0"}, "cc by nc", r"creativecommons org licenses by nc"),
+    ("cc-by-nc-nd", "creative commons", r"creative commons (?:by|attribution) (?:nc|noncommercial|non commercial) (?:nd|noderivatives|no derivatives|noderivs)", {"4 0": "cc-by-nc-nd-4.0", "3 0": "cc-by-nc-nd-3.0"}, "cc by nc nd", r"creativecommons org licenses by nc nd"),
+    ("cc-by-nc-nd", " cc ", r"cc (?:by|attribution) (?:nc|noncommercial|non commercial) (?:nd|noderivatives|no derivatives|noderivs)", {"4 0": "cc-by-nc-nd-4.0", "3 0": "cc-by-nc-nd-3.0"}, "cc by nc nd", r"creativecommons org licenses by nc nd"),
+    ("cc-by-nc-sa", "creative commons", r"creative commons (?:by|attribution) (?:nc|noncommercial|non commercial) (?:sa|sharealike|share alike)", {"4 0": "cc-by-nc-sa-4.0", "3 0": "cc-by-nc-sa-3.0"}, "cc by nc sa", r"creativecommons org licenses by nc sa"),
+    ("cc-by-nc-sa", " cc ", r"cc (?:by|attribution) (?:nc|noncommercial|non commercial) (?:sa|sharealike|share alike)", {"4 0": "cc-by-nc-sa-4.0", "3 0": "cc-by-nc-sa-3.0"}, "cc by nc sa", r"creativecommons org licenses by nc sa"),
+    ("cc-by-nc", "creative commons", r"creative commons (?:by|attribution) (?:nc|noncommercial|non commercial)", {"4 0": "cc-by-nc-4.0", "3 0": "cc-by-nc-3.0"}, "cc by nc", r"creativecommons org licenses by nc"),
+    ("cc-by-nc", " cc ", r"cc (?:by|attribution) (?:nc|noncommercial|non commercial)", {"4 0": "cc-by-nc-4.0", "3 0": "cc-by-nc-3.0"}, "cc by nc", r"creativecommons org licenses by nc"),
     ("cc-by-sa", "cc by sa", r"cc by sa", {"4 0": "cc-by-sa-4.0", "3 0": "cc-by-sa-3.0", "2 0": "cc-by-sa-2.0"}, "cc by sa", r"creativecommons org licenses by sa"),
     ("cc-by-sa", "creative commons", r"creative commons attribution (?:sharealike|share alike)", {"4 0": "cc-by-sa-4.0", "3 0": "cc-by-sa-3.0"}, "cc by sa", r"creativecommons org licenses by sa"),
     ("cc-by-nd", "creative commons", r"creative commons attribution (?:noderivatives|no derivatives|noderivs)", {"4 0": "cc-by-nd-4.0", "3 0": "cc-by-nd-3.0"}, "cc by nd", r"creativecommons org licenses by nd"),
@@ -70,8 +72,8 @@ FAMILIES = [
     ("bsd-0-clause", "bsd", r"(?:zero clause bsd|bsd zero clause) licen[cs]e", {}, "0bsd", r"opensource org licenses 0bsd"),
     ("bsd", "bsd", r"bsd(?: style)? licen[cs]e", {}, "bsd", r"opensource org licenses bsd"),
     ("unlicense", "unlicense", r"the unlicense", {}, "unlicense", r"unlicense org"),
-    ("wtfpl", "what you want", r"do what the [a-z]+ you want to public licen[cs]e", {"2 0?": "wtfpl-2"}, "wtfpl", r"wtfpl net"),
-    ("beerware", "beerware", r"(?:beer ?ware|beer ware) licen[cs]e", {}, "beerware", r"people freebsd org phk"),
+    ("wtfpl", "you want to public", r"do what the [a-z]+ you want to public licen[cs]e", {"2 0?": "wtfpl-2"}, "wtfpl", r"wtfpl net"),
+    ("beerware", "beer", r"(?:beer ?ware|beer ware) licen[cs]e", {}, "beerware", r"people freebsd org phk"),
     ("ncsa", "illinois", r"university of illinois(?: ncsa)? open source licen[cs]e", {}, "ncsa", r"opensource org licenses ncsa"),
     ("postgresql", "postgresql", r"postgresql licen[cs]e", {}, "postgresql", r"postgresql org about licence"),
     ("openssl", "openssl", r"openssl licen[cs]e", {}, "openssl", r"openssl org source license"),
@@ -103,7 +105,7 @@ SURE = [0.5, 0.7, 0.8, 0.85, 0.9, 0.95]
 
 
 def rules() -> list[tuple[str, int, str, str]]:
-    """Label, priority, keyword, pattern of every rule: six forms of every family, one of every sentence."""
+    """Label, priority, keyword, pattern of every rule: six forms of every family, one of every sentence. A match holds its keyword."""
     out = []
     for family, key, name, versions, spdx, site in FAMILIES:
         out += [(family, 0, key, name), (family, 2, key, _GRANT + name), (family, 5, "spdx", f"spdx license identifier {spdx}"), (family, 3, site.split(" ")[0], site)]
@@ -115,6 +117,17 @@ def rules() -> list[tuple[str, int, str, str]]:
     return sorted(set(out), key=lambda r: (r[2], -r[1], r[0], r[3]))
 
 
+def _gate() -> str:
+    """A pattern of raw texts that finds a literal of every rule and base phrase: licen[cs] where it has to stand in a match, else an address or a keyword."""
+    asked = [(key, name) for _, key, name, *_ in FAMILIES] + [(x[5], x[5]) for x in FAMILIES] + [(key, pattern) for _, key, pattern in SENTENCES] + [(p, p) for p, _ in BASE]
+    other = {key.strip() for key, pattern in asked if not re.search("licen(?:s|c|\\[cs\\])", re.sub(r"\(\?:[^()]*\)", "", pattern))}
+    return r"(?i)licen[cs]|(?<![0-9a-z])(?:" + "|".join(sorted(other)).replace(" ", r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+") + ")"
+
+
+#: What stands in every text with a match or a base phrase; SPDX tags hold "license" too.
+GATE = _gate()
+
+
 def words_text(text: Column) -> Column:
     """The words of a text in lower case, a space before, between and after them."""
     return F.concat(F.lit(" "), F.trim(F.regexp_replace(F.translate(text, UPPER, LOWER), GAP, " ")), F.lit(" "))

@@ -214,6 +214,48 @@ def test_licenses(spark, odd):
     assert all(0 <= r["score"] <= 1 for r in licenses.scan(df).collect()) and licenses.scan(df.limit(0)).count() == 0
 
 
+def spelled(pattern):
+    """Texts that a pattern of the rules matches: every branch, with and without what is optional."""
+    import re._parser as parser
+
+    def of(tree):
+        texts = [""]
+        for op, arg in tree:
+            op = str(op)
+            if op == "LITERAL":
+                more = [chr(arg)]
+            elif op == "IN":
+                more = ["x" if str(kind) == "RANGE" else chr(x) for kind, x in arg]
+            elif op == "SUBPATTERN":
+                more = of(arg[3])
+            elif op == "BRANCH":
+                more = [t for branch in arg[1] for t in of(branch)]
+            else:
+                assert op == "MAX_REPEAT"
+                more = ([""] if arg[0] == 0 else []) + of(arg[2])
+            texts = [a + b for a in texts for b in more]
+        return texts
+
+    return of(parser.parse(pattern))
+
+
+REAL = {
+    "CC0 1.0 Universal": "cc0-1.0", "Proprietary and confidential": "proprietary", "https://mozilla.org/MPL/2.0/": "mpl-2.0", "scripts.sil.org/OFL": "ofl", "www.eclipse.org/legal/epl-2.0": "epl-2.0",
+    "Historical Permission Notice and Disclaimer": "hpnd", "All rights\nreserved": "all-rights-reserved", "dedicated to the public\n  domain": "public-domain", "CC BY-NC 4.0": "cc-by-nc-4.0",
+    "CC BY Non Commercial": "cc-by-nc", "Do What The Fuck You Want To Public License": "wtfpl", "beer ware license": "beerware",
+}
+
+
+def test_no_match_is_gated(spark):
+    for label, _, key, pattern in licenses.rules():
+        for text in spelled(pattern):
+            assert re.fullmatch(pattern, text) and key in f" {text} ", (label, key, text)
+            raw = text.upper().replace(" ", ".\n")
+            assert re.search(licenses.GATE, raw) and re.search(licenses.GATE, f"É-{raw}"), (label, text)
+    got = {r["doc_id"]: r["labels"].split(",") for r in licenses.scan(spark.createDataFrame(list(enumerate(REAL)), "doc_id long, text string")).collect()}
+    assert [x in got[i] for i, x in enumerate(REAL.values())] == [True] * len(REAL)
+
+
 # 6
 
 
