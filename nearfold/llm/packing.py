@@ -1,15 +1,16 @@
 """Lexical retrieval packing: documents beside their BM25 neighbours in sequences of a fixed length.
 
 Every document is encoded whole and ended by an id. Full windows of a long document are sequences of their own; the
-rest of each document (shorter than a window) goes to a shard by a hash of its id and tokens. A shard of bounded size
-holds an inverted index of its documents' token ids; document frequencies and the mean length are of the whole corpus.
-A seed asks the index with its most telling terms; the unused documents it returns fill the seed's window in order of
+rest of each document (shorter than a window) goes to a shard by content: documents are put in order of their two most
+telling terms that another document shares, over all partitions, and each run of `shard_docs` of them is a shard. It
+holds an inverted index of its documents' token ids; frequencies and lengths are those of whole documents, over the
+whole corpus. A seed asks the index with all terms of its document; the unused documents it returns fill the seed's window in order of
 their BM25 score, the last one is cut at the window's end, and what is left of it is the next seed. A shard's last
 window is cut into sequences whose lengths are powers of two, so no sequence needs padding.
 
 Null and empty texts consist of the end id. Repeated rows and ids are documents of their own. An empty table gives no
-sequences. Columns besides doc_id and text are ignored. Shards are streamed in sorted order and begin anew after
-`most` documents, so a task's memory is bounded whatever the rows are.
+sequences. Columns besides doc_id and text are ignored. Shards are streamed in sorted order, one at a time, and begin
+anew after 64 MB of long documents' terms, so a task's memory is bounded whatever the rows are.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,7 +35,7 @@ def _crc(ids: np.ndarray) -> int:
 
 
 def tokenized(docs: DataFrame, vocab: str, end_id: int, window: int) -> DataFrame:
-    """doc_id, n tokens, crcs of its full windows, and the rest of its ids (16 bits each where the vocabulary allows), in a written table."""
+    """doc_id, n tokens, crcs of its full windows, the rest of its ids (16 bits each where the vocabulary allows), and the terms and counts of one with full windows, in a written table."""
     spark = docs.sparkSession
     arrow_rows(spark, 1000)
 
@@ -48,38 +50,47 @@ def tokenized(docs: DataFrame, vocab: str, end_id: int, window: int) -> DataFram
                 cuts = offsets[:-1] + n // window * window
                 rest = [small[a:b].tobytes() for a, b in zip(cuts.tolist(), offsets[1:].tolist())]
                 crcs = [[_crc(ids[k : k + window]) for k in range(a, b, window)] if a < b else [] for a, b in zip(offsets.tolist(), cuts.tolist())]
-                yield pa.RecordBatch.from_arrays([column(part, "doc_id").cast(pa.int64()), pa.array(n, pa.int64()), pa.array(crcs, pa.list_(pa.int64())), pa.array(rest, pa.binary())], names=["doc_id", "n", "crcs", "rest"])
+                whole = [np.stack(np.unique(ids[a:b], return_counts=True), 1).astype("<u4").tobytes() if b - a >= window else None for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
+                yield pa.RecordBatch.from_arrays(
+                    [column(part, "doc_id").cast(pa.int64()), pa.array(n, pa.int64()), pa.array(crcs, pa.list_(pa.int64())), pa.array(rest, pa.binary()), pa.array(whole, pa.binary())], names=["doc_id", "n", "crcs", "rest", "whole"]
+                )
 
     path = scratch_path(spark, "tokens")
-    schema = "doc_id long, n long, crcs array<long>, rest binary"
+    schema = "doc_id long, n long, crcs array<long>, rest binary, whole binary"
     docs.select("doc_id", "text").mapInArrow(of, schema).write.option("compression", "zstd").parquet(path)
     return spark.read.schema(schema).parquet(path)
 
 
+def _terms(docs: list[np.ndarray], whole: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Owner, term and count of every term of documents: of `whole` where it is given, else of docs; by owner and term."""
+    lens = np.array([0 if w is not None else len(d) for d, w in zip(docs, whole)], np.int64)
+    short = [d for d, w in zip(docs, whole) if w is None]
+    joint = (np.repeat(np.arange(len(docs)), lens) << 32) | np.concatenate([np.zeros(0, np.int64), *short]).astype(np.int64)
+    joint.sort()
+    new = np.flatnonzero(np.r_[True, joint[1:] != joint[:-1]]) if len(joint) else np.zeros(0, np.int64)
+    joint, tf = joint[new], np.diff(np.r_[new, len(joint)])
+    for i, w in enumerate(whole):
+        if w is not None:
+            pairs = np.frombuffer(w, "<u4").reshape(-1, 2).astype(np.int64)
+            at = int(np.searchsorted(joint, i << 32))
+            joint, tf = np.insert(joint, at, (i << 32) | pairs[:, 0]), np.insert(tf, at, pairs[:, 1])
+    return joint >> 32, joint & 0xFFFFFFFF, tf
+
+
 def statistics(tokens: DataFrame, kind: str) -> tuple[np.ndarray, np.ndarray, float, int]:
-    """Ids met, how many documents hold each, mean length and number of the documents that are left to pack, over all of them."""
+    """Ids met, how many documents hold each, mean length and number of the documents, over all of them and all their ids."""
 
     def of(batches):
         count, length, docs = np.zeros(0, np.int64), 0, 0
         for batch in batches:
-            raw = column(batch, "rest").to_pylist()
-            ids = np.frombuffer(b"".join(raw), kind)
-            lens = np.array([len(x) for x in raw], np.int64) // np.dtype(kind).itemsize
-            if len(ids):
-                joint = (np.repeat(np.arange(len(raw)), lens) << 32) | ids
-                joint.sort()
-                own = joint[np.r_[True, joint[1:] != joint[:-1]]] & 0xFFFFFFFF
-                found = np.bincount(own)
-                if len(found) > len(count):
-                    found[: len(count)] += count
-                    count = found
-                else:
-                    count[: len(found)] += found
-                length, docs = length + len(ids), docs + int((lens > 0).sum())
+            _, own, tf = _terms([np.frombuffer(x, kind) for x in column(batch, "rest").to_pylist()], column(batch, "whole").to_pylist())
+            found = np.bincount(own, minlength=len(count))
+            found[: len(count)] += count
+            count, length, docs = found, length + int(tf.sum()), docs + batch.num_rows
         some = np.flatnonzero(count)
         yield pa.RecordBatch.from_arrays([pa.array(np.r_[-2, -1, some], pa.int64()), pa.array(np.r_[docs, length, count[some]], pa.int64())], names=["term", "n"])
 
-    rows = tokens.select("rest").mapInArrow(of, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()  # a row for each id of the vocabulary
+    rows = tokens.select("rest", "whole").mapInArrow(of, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()  # a row for each id of the vocabulary
     found = dict(zip(rows["term"].to_pylist(), rows["n"].to_pylist()))
     docs, length = found.pop(-2, 0), found.pop(-1, 0)
     terms = np.array(sorted(found), np.int64)
@@ -89,14 +100,10 @@ def statistics(tokens: DataFrame, kind: str) -> tuple[np.ndarray, np.ndarray, fl
 class Shard:
     """An inverted index of documents (arrays of ids), asked for unused neighbours."""
 
-    def __init__(self, docs: list[np.ndarray], idf: np.ndarray, mean: float, query_terms: int):
+    def __init__(self, docs: list[np.ndarray], idf: np.ndarray, mean: float, query_terms: int | None, whole: list[bytes | None] | None = None):
         self.query_terms, self.n = query_terms, len(docs)
-        lens = np.array([len(d) for d in docs], np.int64)
-        joint = (np.repeat(np.arange(self.n), lens) << 32) | np.concatenate(docs).astype(np.int64)
-        joint.sort()
-        new = np.flatnonzero(np.r_[True, joint[1:] != joint[:-1]])
-        tf = np.diff(np.r_[new, len(joint)])
-        self.owner, self.term = joint[new] >> 32, joint[new] & 0xFFFFFFFF
+        self.owner, self.term, tf = _terms(docs, whole or [None] * self.n)
+        lens = np.bincount(self.owner, tf, self.n)
         self.weight_of = idf[self.term]
         weight = self.weight_of * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lens[self.owner] / max(mean, 1.0)))
         self.asked = tf * self.weight_of
@@ -110,7 +117,7 @@ class Shard:
         """Unused documents, the best first; those without a shared term come last, in order."""
         a, b = self.first[seed], self.first[seed + 1]
         pick = np.arange(a, b)
-        if b - a > self.query_terms:
+        if self.query_terms is not None and b - a > self.query_terms:
             pick = pick[np.argsort(-self.asked[a:b], kind="stable")[: self.query_terms]]
         at = np.searchsorted(self.terms, self.term[pick])
         spans = concat_ranges(self.begins[at], self.begins[at + 1] - self.begins[at])
@@ -128,9 +135,9 @@ class Shard:
         yield from (int(i) for i in np.lexsort((np.arange(self.n), -score)) if score[i] >= 0)
 
 
-def windows(docs: list[np.ndarray], idf: np.ndarray, mean: float, window: int, query_terms: int) -> list[list[tuple[int, int, int]]]:
+def windows(docs: list[np.ndarray], idf: np.ndarray, mean: float, window: int, query_terms: int | None, whole: list[bytes | None] | None = None) -> list[list[tuple[int, int, int]]]:
     """Sequences of (document, from, to) that hold every id of docs once; each is full or a power of two long."""
-    shard, unused = Shard(docs, idf, mean, query_terms), np.ones(len(docs), bool)
+    shard, unused = Shard(docs, idf, mean, query_terms, whole), np.ones(len(docs), bool)
     out, now, room, nearest = [], [], window, iter(())
     seed, begin, k = None, 0, 0
     while True:
@@ -172,7 +179,7 @@ def windows(docs: list[np.ndarray], idf: np.ndarray, mean: float, window: int, q
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-def pack(docs: DataFrame, vocab: str | None = None, end_id: int = 1, window: int = 2048, shard_docs: int = 512, query_terms: int = 64) -> DataFrame:
+def pack(docs: DataFrame, vocab: str | None = None, end_id: int = 1, window: int = 2048, shard_docs: int = 512, query_terms: int | None = None) -> DataFrame:
     """PIECES of every row of docs (doc_id, text)."""
     spark = docs.sparkSession
     vocab = vocab or vocabulary("byte_bpe_50k.json")
@@ -183,42 +190,53 @@ def pack(docs: DataFrame, vocab: str | None = None, end_id: int = 1, window: int
     idf[terms] = np.log1p((n - frequency + 0.5) / (frequency + 0.5))
     shared = spark.sparkContext.broadcast(idf)  # one number for each id of the vocabulary
     shards = max(1, -(-n // shard_docs))
-    most = 4 * shard_docs
+    lone = np.zeros(len(idf), bool)
+    lone[terms[frequency < 2]] = True
+    shared_lone = spark.sparkContext.broadcast(lone)
+
+    def keyed(batches):
+        idf, lone = shared.value, shared_lone.value
+        for batch in batches:
+            owner, term, tf = _terms([np.frombuffer(x, kind) for x in column(batch, "rest").to_pylist()], column(batch, "whole").to_pylist())
+            asked = np.where(lone[term], 0.0, tf * idf[term])
+            order = np.lexsort((term, -asked, owner))
+            first = np.searchsorted(owner, np.arange(batch.num_rows))
+            second = np.minimum(first + 1, np.searchsorted(owner, np.arange(batch.num_rows), "right") - 1)
+            keys = [pa.array(np.where(asked[order[at]] > 0, term[order[at]], -1), pa.int64()) for at in (first, second)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *keys], names=[*batch.schema.names, "k1", "k2"])
 
     def of(batches):
         idf = shared.value
-        now, rows, sequence = None, [], 0
+        rows, held, sequence, task = [], 0, 0, TaskContext.get().partitionId()
 
         def done():
             nonlocal sequence
-            out, base = [], now << 24
-            for doc_id, n, crcs, _ in rows:
+            out, base = [], task << 40
+            for doc_id, n, crcs, _, _ in rows:
                 for w, crc in enumerate(crcs):
                     out.append((doc_id, window * w, window, crc, n, base + sequence, 0))
                     sequence += 1
             rests = [r for r in rows if len(r[3])]
             if rests:
-                for pieces in windows([r[3] for r in rests], idf, mean, window, query_terms):
+                for pieces in windows([r[3] for r in rests], idf, mean, window, query_terms, [r[4] for r in rests]):
                     offset = 0
                     for d, a, b in pieces:
-                        doc_id, n, crcs, ids = rests[d]
+                        doc_id, n, crcs, ids, _ = rests[d]
                         out.append((doc_id, window * len(crcs) + a, b - a, _crc(ids[a:b]), n, base + sequence, offset))
                         offset += b - a
                     sequence += 1
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
         for batch in batches:
-            for row in zip(*(column(batch, c).to_pylist() for c in ("shard", "doc_id", "n", "crcs", "rest"))):
-                if row[0] != now or len(rows) >= most:
-                    if rows:
-                        yield done()
-                    rows = []
-                    if row[0] != now:
-                        now, sequence = row[0], 0
-                rows.append((row[1], row[2], row[3], np.frombuffer(row[4], kind)))
+            for doc_id, n, crcs, rest, whole in zip(*(column(batch, c).to_pylist() for c in ("doc_id", "n", "crcs", "rest", "whole"))):
+                if rows and (len(rows) >= shard_docs or held > 64 << 20):
+                    yield done()
+                    rows, held = [], 0
+                rows.append((doc_id, n, crcs, np.frombuffer(rest, kind), whole))
+                held += len(whole or b"")
         if rows:
             yield done()
 
-    placed = tokens.withColumn("shard", F.pmod(F.xxhash64("doc_id", "n", "rest"), F.lit(shards)))
-    placed = placed.repartition(min(shards, 4 * partitions(spark)), "shard").sortWithinPartitions("shard", "doc_id", "n", "rest")
-    return placed.select("shard", "doc_id", "n", "crcs", "rest").mapInArrow(of, PIECES)
+    order = ["k1", "k2", "doc_id", "n", "rest"]  # doc_id too, so that many like documents are no large partition
+    placed = tokens.mapInArrow(keyed, "doc_id long, n long, crcs array<long>, rest binary, whole binary, k1 long, k2 long").repartitionByRange(min(shards, 4 * partitions(spark)), *order).sortWithinPartitions(*order)
+    return placed.select("doc_id", "n", "crcs", "rest", "whole").mapInArrow(of, PIECES)

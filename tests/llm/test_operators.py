@@ -132,6 +132,23 @@ def test_neighbours_are_those_of_bm25():
     assert list(shard.neighbours(0, unused)) == want
 
 
+def test_packing_by_whole_documents_and_content(spark):
+    rng = np.random.default_rng(3)
+    long = " alpha" * 3000 + " omega" * 500
+    texts = [long, " omega short"] + [" ".join(f"topic{t}" for _ in range(20)) + " " + " ".join(map(str, rng.integers(0, 9, 10))) for t in range(20) for _ in range(4)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    vocab = tokens.vocabulary("byte_bpe_50k.json")
+    stored = packing.tokenized(docs, vocab, 1, 2048)
+    terms, frequency, mean, n = packing.statistics(stored, "<u2")
+    ids = [np.array(tokens.encoder(vocab).encode([t])[0]) for t in texts]
+    want = collections.Counter(t for x in ids for t in set(x.tolist()) | {1})
+    assert dict(zip(terms.tolist(), frequency.tolist())) == want and n == len(texts) and abs(mean - np.mean([len(x) + 1 for x in ids])) < 1e-9
+    together = collections.defaultdict(set)
+    for r in packing.pack(docs, shard_docs=8).where("doc_id > 1").collect():
+        together[r["sequence_id"] >> 40].add((r["doc_id"] - 2) // 4)
+    assert sum(map(len, together.values())) <= 20 + 2 * len(together)  # a topic's documents are in one partition, but for its borders
+
+
 # 4
 
 
