@@ -191,7 +191,7 @@ def write(docs: DataFrame, folder: str, vocab: str, end_id: int, per_partition:
                     stream = files.open_output_stream(name + ".tmp")
                     writer = Writer(stream)
                 part = batch.slice(i, j - i)
-                ids, offsets = ended(*codec.encode(column(part, "text").to_pylist()), end_id)
+                ids, offsets = ended(*codec.encode(column(part, "text")), end_id)
                 writer.add(column(part, "doc_id").to_pylist(), np.diff(offsets), ids)
         if writer:
             yield done()
