@@ -2,7 +2,10 @@
 
 The rows of an index lie in folders by partition, so that a query's probes prune folders. The graph kind keeps whole
 vectors and scans the probed partitions exactly: its recall is at least that of a graph over them, and ef_search is
-checked but bounds nothing. Rows written after the build have partition -1 and are scanned by every query.
+checked but bounds nothing. The quantised kind ranks the probed partitions by codes and the best of them again by exact
+distance. A build asks the new index for the neighbours of some stored rows and keeps how many probes, and how many
+candidates for each neighbour, reach RECALL over all rows; queries that name no probes use those. Rows written after
+the build are scanned by every query.
 """
 
 from __future__ import annotations
@@ -17,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import DimensionMismatch, SchemaViolation
-from ..functions.distance import distance, distance_to, matrix_distances
+from ..functions.distance import distance, matrix_distances
 from ..plans import ladder as L
 from ..types import Metric
 from . import search as S
@@ -26,6 +29,10 @@ from .table import _Store
 #: Rows that k-means is fitted on at most, for the coarse partitions and each code book.
 TRAIN_ROWS = 100_000
 ROWS = "id long, vector array<float>"
+#: Mean recall of TESTED stored rows' ten neighbours that a build's defaults reach, and the candidates for each neighbour that it tries.
+RECALL, TESTED, AGAIN = 0.97, 64, (5, 10, 20, 40, 80)
+#: Rows of one file of an index.
+FILE_ROWS = 500_000
 
 
 def kmeans(points: np.ndarray, k: int, seed: int = 17, rounds: int = 15) -> np.ndarray:
@@ -117,53 +124,6 @@ class CodeBooks:
         return total if metric is Metric.L2 else -total if metric is Metric.DOT else 1 - total
 
 
-def ivf_batch(rows: DataFrame, queries: list[tuple[int, list[float]]], centres: np.ndarray, metric: Metric, k: int, probes: int) -> DataFrame:
-    """query_id, rank, id, distance of the k nearest among the rows of each query's nearest cells, exactly ranked."""
-    names, matrix = np.array([q for q, _ in queries], np.int64), np.array([v for _, v in queries], np.float64)
-    asked = np.zeros((len(queries), len(centres)), bool)
-    for i, q in enumerate(matrix):
-        asked[i, probe_order(metric, centres, q)[:probes]] = True
-    shared = rows.sparkSession.sparkContext.broadcast((names, matrix, asked, centres))
-
-    def of(batches):
-        names, matrix, asked, centres = shared.value
-        best = S.Best(len(names), k)
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
-            own = matrix_distances(Metric.L2, prepared(metric, x), centres).argmin(1)
-            for cell in np.unique(own):
-                at, who = np.flatnonzero(own == cell), np.flatnonzero(asked[:, cell])
-                best.add(who, ids[at], matrix_distances(metric, x[at], matrix[who]))
-        yield from best.batches(names)
-
-    return S.merged_best(rows.select("id", "vector").mapInArrow(of, S.BEST), k)
-
-
-def pq_batch(rows: DataFrame, queries: list[tuple[int, list[float]]], books: CodeBooks, metric: Metric, k: int, again: int = 10) -> DataFrame:
-    """query_id, rank, id, distance: the again * k best rows of each query by code distance, ranked by exact distance."""
-    names, matrix = np.array([q for q, _ in queries], np.int64), np.array([v for _, v in queries], np.float64)
-    shared = rows.sparkSession.sparkContext.broadcast((names, prepared(metric, matrix), books))
-
-    def of(batches):
-        names, unit, books = shared.value
-        best = S.Best(len(names), again * k)
-        for batch in batches:
-            if batch.num_rows:
-                x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
-                codes = books.encode(prepared(metric, x))
-                distances = np.stack([books.distances(codes, q, metric) for q in unit], axis=1)
-                best.add(np.arange(len(names)), batch.column(0).to_numpy(zero_copy_only=False), distances)
-        yield from best.batches(names)
-
-    found = S.merged_best(rows.select("id", "vector").mapInArrow(of, S.BEST), again * k).select("query_id", "id")
-    asked = rows.sparkSession.createDataFrame([(q, [float(x) for x in v]) for q, v in queries], "query_id long, query array<double>")
-    exact = found.join(rows.select("id", "vector"), "id").join(F.broadcast(asked), "query_id")
-    return S.merged_best(exact.select("query_id", "id", distance(metric, F.col("vector"), F.col("query")).alias("distance")), k)
-
-
 class VectorIndex:
     """Rows (id, vector) in a folder and at most one index over them."""
 
@@ -230,15 +190,44 @@ class VectorIndex:
                     if batch.num_rows:
                         x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
                         codes = shared.value.encode(prepared(metric, x))
-                        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([c.tobytes() for c in codes], pa.binary()), batch.column(2)], names=["id", "codes", "partition_id"])
+                        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([c.tobytes() for c in codes], pa.binary()), *batch.columns[1:]], names=["id", "codes", "vector", "partition_id"])
 
-            placed = placed.mapInArrow(code, "id long, codes binary, partition_id int")
-        placed.repartition("partition_id").write.partitionBy("partition_id").parquet(f"{self.root}/{folder}")
+            placed = placed.mapInArrow(code, "id long, codes binary, vector array<float>, partition_id int")
+        files = params.partitions * max(1, -(-rows.count() // (params.partitions * FILE_ROWS)))
+        own = F.pmod(F.xxhash64("id"), F.lit(files // params.partitions))  # a large partition is no single task
+        placed = placed.repartition(files, "partition_id", own).sortWithinPartitions("partition_id", "id")
+        placed.write.partitionBy("partition_id").parquet(f"{self.root}/{folder}")
         about = {"kind": params.kind, "folder": folder, "covered": sorted(self.store.names("rows")), "centres": centres.tolist(), "books": [b.tolist() for b in books.books] if books else None}
+        about |= self._enough(about)
         for name in self.index_names():
             self.store.delete(f"index/{name}")
         self.store.create(f"index/{params.kind}-{uuid.uuid4().hex}.json", json.dumps(about))
 
+    def _enough(self, about: dict) -> dict:
+        """The fewest probes, and candidates for each neighbour, with which an index reaches RECALL; measured against all rows."""
+        rows, k = self.rows(), 10
+        asked = rows.orderBy(F.xxhash64("id", F.lit(5)), "id").limit(TESTED).collect()
+        queries = [(i, r["vector"]) for i, r in enumerate(asked)]
+        truth: dict[int, set] = {i: set() for i, _ in queries}
+        for r in S.batch_knn(rows, queries, self.metric, k).collect():
+            truth[r["query_id"]].add(r["id"])
+
+        def recall(probes: int, again: int) -> float:
+            hits = dict.fromkeys(truth, 0)
+            for r in self._batch(about, queries, k, probes, again).collect():
+                hits[r["query_id"]] += r["id"] in truth[r["query_id"]]
+            return float(np.mean([hits[i] / len(t) for i, t in truth.items()]))
+
+        cells = len(about["centres"])
+        again = AGAIN[-1]
+        if about["books"] is not None:
+            again = next((n for n in AGAIN if recall(cells, n) >= RECALL), AGAIN[-1])
+        low, high = 1, cells  # more probes never find less
+        while low < high:
+            middle = (low + high) // 2
+            low, high = (low, middle) if recall(middle, again) >= RECALL else (middle + 1, high)
+        return {"probes": low, "again": again}
+
     def _about(self) -> dict | None:
         names = self.index_names()
         return json.loads(self.store.read(f"index/{names[0]}")) if names else None
@@ -251,28 +240,77 @@ class VectorIndex:
         about = self._about()
         if about is None:
             return S.nearest(self.rows(), vector, self.metric, knobs.top_k).select("id", "distance")
-        centres = np.array(about["centres"])
-        probes = probe_order(self.metric, centres, np.array(vector, np.float64))[: knobs.probes or 1].tolist()
-        parts = self.spark.read.parquet(f"{self.root}/{about['folder']}").where(F.col("partition_id").isin(probes))
+        if about["books"] is not None:
+            return self._batch(about, [(0, vector)], knobs.top_k, knobs.probes, None).orderBy("rank").select("id", "distance")
+        probed = probe_order(self.metric, np.array(about["centres"]), np.array(vector, np.float64))[: knobs.probes or about["probes"]]
+        rows = self._parts(about, probed).select("id", "vector")
+        late = self._late(about)
+        return S.nearest(rows if late is None else rows.union(late), vector, self.metric, knobs.top_k).select("id", "distance")
+
+    def query_batch(self, queries: list[tuple[int, list[float]]], knobs: L.Knobs = L.Knobs()) -> DataFrame:
+        """query_id, rank (from 1), id and distance of what query() finds for each of many vectors, in one job."""
+        knobs.check()
+        for _, v in queries:
+            if len(v) != self.dimension:
+                raise DimensionMismatch(self.dimension, len(v))
+        about = self._about()
+        if about is None or not queries:
+            return S.batch_knn(self.rows(), queries, self.metric, knobs.top_k)
+        # a block's vectors, and the candidates that a task keeps for it, are a few dozen megabytes
+        each = max(1, S.QUERY_BYTES // (8 * max(self.dimension, 2 * knobs.top_k * (about["again"] if about["books"] else 1))))
+        parts = [self._batch(about, queries[at : at + each], knobs.top_k, knobs.probes, None) for at in range(0, len(queries), each)]
+        found = parts[0]
+        for part in parts[1:]:
+            found = found.union(part)
+        return found
+
+    def _parts(self, about: dict, probed) -> DataFrame:
+        return self.spark.read.parquet(f"{self.root}/{about['folder']}").where(F.col("partition_id").isin([int(p) for p in probed]))
+
+    def _late(self, about: dict) -> DataFrame | None:
+        """Rows written after the build."""
         late = sorted(set(self.store.names("rows")) - set(about["covered"]))
-        uncovered = self.spark.read.schema(ROWS).parquet(*[f"{self.root}/rows/{n}" for n in late]) if late else None
-        if about["books"] is None:
-            rows = parts.select("id", "vector")
-            return S.nearest(rows if uncovered is None else rows.union(uncovered), vector, self.metric, knobs.top_k).select("id", "distance")
-        books, metric = CodeBooks([np.array(b) for b in about["books"]]), self.metric
-        q = prepared(metric, np.array(vector, np.float64)[None, :])[0]
-        shared = self.spark.sparkContext.broadcast(books)
-
-        def score(batches):
+        return self.spark.read.schema(ROWS).parquet(*[f"{self.root}/rows/{n}" for n in late]) if late else None
+
+    def _batch(self, about: dict, queries: list[tuple[int, list[float]]], k: int, probes: int | None, again: int | None) -> DataFrame:
+        names, matrix = np.array([q for q, _ in queries], np.int64), np.array([v for _, v in queries], np.float64)
+        centres, metric = np.array(about["centres"]), self.metric
+        asked = np.zeros((len(queries), len(centres)), bool)
+        for i, q in enumerate(matrix):
+            asked[i, probe_order(metric, centres, q)[: probes or about["probes"]]] = True
+        books = CodeBooks([np.array(b) for b in about["books"]]) if about["books"] is not None else None
+        wanted = k if books is None else k * (again or about["again"])
+        shared = self.spark.sparkContext.broadcast((names, matrix, prepared(metric, matrix), asked, books))
+
+        def of(batches):
+            names, matrix, unit, asked, books = shared.value
+            best = S.Best(len(names), wanted)
             for batch in batches:
-                if batch.num_rows:
-                    codes = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(batch.num_rows, -1)
-                    yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(shared.value.distances(codes, q, metric))], names=["id", "distance"])
-
-        found = parts.select("id", "codes").mapInArrow(score, "id long, distance double")
-        if uncovered is not None:
-            found = found.union(uncovered.select("id", distance_to(metric, F.col("vector"), vector).alias("distance")))
-        return found.orderBy("distance", "id").limit(knobs.top_k)
+                if not batch.num_rows:
+                    continue
+                ids, own = (batch.column(c).to_numpy(zero_copy_only=False) for c in (0, 2))
+                if books is None:
+                    x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+                else:
+                    x = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(batch.num_rows, -1)
+                for cell in np.unique(own):
+                    at, who = np.flatnonzero(own == cell), np.flatnonzero(asked[:, cell])
+                    if len(who):
+                        near = matrix_distances(metric, x[at], matrix[who]) if books is None else np.stack([books.distances(x[at], unit[i], metric) for i in who], axis=1)
+                        best.add(who, ids[at], near)
+            yield from best.batches(names)
+
+        parts = self._parts(about, np.flatnonzero(asked.any(axis=0)))
+        found = S.merged_best(parts.select("id", "vector" if books is None else "codes", "partition_id").mapInArrow(of, S.BEST), wanted)
+        late = self._late(about)
+        if books is not None:  # ranked again by exact distance; an id may stand for several rows
+            vectors = self.spark.createDataFrame([(q, [float(x) for x in v]) for q, v in queries], "query_id long, query array<double>")
+            named = found.select("query_id", "id").distinct()  # at most `wanted` for each query
+            exact = parts.select("id", "vector").join(named, "id").join(F.broadcast(vectors), "query_id")
+            found = S.merged_best(exact.select("query_id", "id", distance(metric, F.col("vector"), F.col("query")).alias("distance")), k)
+        if late is not None:
+            found = S.merged_best(found.select("query_id", "id", "distance").union(S.batch_knn(late, queries, metric, k).select("query_id", "id", "distance")), k)
+        return found
 
     # ladder
 
@@ -288,9 +326,9 @@ class VectorIndex:
                 return "already_in_progress"
             self.build_state, self.build_error = "in_progress", None
         if how == "inline":
-            self._build(L.default_params(kind, self.dimension), again=True)
+            self._build(L.default_params(kind, self.dimension, n), again=True)
             return "built"
-        self._thread = threading.Thread(target=self._build, args=(L.default_params(kind, self.dimension),), name="index-build", daemon=True)
+        self._thread = threading.Thread(target=self._build, args=(L.default_params(kind, self.dimension, n),), name="index-build", daemon=True)
         self._thread.start()
         return "started"
 

@@ -14,6 +14,8 @@ from ..types import MAX_TOP_K
 EXHAUSTIVE, HNSW, IVF_PQ = "exhaustive", "hnsw", "ivf_pq"
 #: Rows from which a graph index, a quantised index and a background build are chosen.
 HNSW_ROWS, PQ_ROWS, BACKGROUND_ROWS = 10_000, 1_000_000, 50_000
+#: Rows of a partition that an index of many rows is built for, and the most partitions.
+PARTITION_ROWS, MOST_PARTITIONS = 250_000, 256
 #: Rows that product quantisation needs to be trained.
 PQ_MIN_ROWS = 256
 CALIBRATION_QUERIES, CALIBRATION_ROWS = 8, 250_000
@@ -58,14 +60,18 @@ class BuildParams:
             raise SchemaViolation("only a quantised index has sub_vectors")
 
 
-def default_params(kind: str, dimension: int) -> BuildParams:
+def default_params(kind: str, dimension: int, rows: int = 0) -> BuildParams:
+    """Four partitions, and more for tables of over a million rows."""
+    partitions = min(max(4, rows // PARTITION_ROWS), MOST_PARTITIONS)
     if kind == IVF_PQ:
-        return BuildParams(kind, sub_vectors=next(m for m in (16, 8, 4, 2, 1) if dimension % m == 0))
-    return BuildParams(kind, ef_construction=64)
+        return BuildParams(kind, partitions, sub_vectors=next(m for m in (16, 8, 4, 2, 1) if dimension % m == 0))
+    return BuildParams(kind, partitions, ef_construction=64)
 
 
 @dataclass(frozen=True)
 class Knobs:
+    """probes: partitions looked into; without it as many as the build found to be enough."""
+
     top_k: int = 10
     probes: int | None = None
     ef_search: int | None = None

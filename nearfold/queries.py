@@ -17,8 +17,9 @@ from .functions.ranking import global_rank
 from .functions.values import colour_index, crc32, literal_column, metadata_json
 from .operators import analytics as A
 from .operators import lifecycle as C
+from .operators import scratch
 from .operators import search as S
-from .operators.index import CodeBooks, assign, ivf_batch, kmeans, label_centres, pq_batch, prepared, sample_matrix
+from .operators.index import VectorIndex, assign, kmeans, label_centres, prepared, sample_matrix
 from .plans import ladder as L
 from .plans import predicates as P
 from .sources import datagen
@@ -402,30 +403,42 @@ def ivf_kmeans(spark, sf_dir):
     return assign(rows, centres, Metric.COSINE).groupBy("partition_id").agg(F.count(F.lit(1)).alias("rows"))
 
 
-@register("ivf_recall")
-def ivf_recall(spark, sf_dir):
-    """Recall of ten neighbours from six of eight cells, query by query."""
+_INDEXES: dict[tuple[str, str, str], VectorIndex] = {}
+
+
+def index_of(spark: SparkSession, sf_dir: str, kind: str) -> VectorIndex:
+    """An index of that kind with the ladder's own parameters over all vectors, built once in a session."""
+    name = (spark.sparkContext.applicationId, sf_dir, kind)
+    if name not in _INDEXES:
+        index = VectorIndex(spark, scratch.folder(spark, kind), DIM, Metric.COSINE)
+        index.write(vt(spark, sf_dir).select("id", "vector"))
+        index.build(L.default_params(kind, DIM, index.row_count()))
+        _INDEXES[name] = index
+    return _INDEXES[name]
+
+
+def recall_of(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
     rows = vt(spark, sf_dir)
     q = batch_queries(rows)
-    found = ivf_batch(rows, q, kmeans(prepared(Metric.COSINE, sample_matrix(rows)), 8), Metric.COSINE, 10, 6)
-    return A.recall(found, S.batch_knn(rows, q, Metric.COSINE, 10))
+    return A.recall(index_of(spark, sf_dir, kind).query_batch(q), S.batch_knn(rows, q, Metric.COSINE, 10))
+
+
+@register("ivf_recall")
+def ivf_recall(spark, sf_dir):
+    """Recall of ten neighbours that the graph kind of index finds with its default parameters and knobs, query by query."""
+    return recall_of(spark, sf_dir, L.HNSW)
 
 
 @register("pq_recall")
 def pq_recall(spark, sf_dir):
-    """Recall of ten neighbours from product-quantised codes, re-ranked by exact distance, query by query."""
-    rows = vt(spark, sf_dir)
-    q = batch_queries(rows)
-    books = CodeBooks.fit(prepared(Metric.COSINE, sample_matrix(rows)), 16)
-    return A.recall(pq_batch(rows, q, books, Metric.COSINE, 10), S.batch_knn(rows, q, Metric.COSINE, 10))
+    """The same of the product-quantised kind."""
+    return recall_of(spark, sf_dir, L.IVF_PQ)
 
 
 @register("pq_search")
 def pq_search(spark, sf_dir):
-    """Ten nearest to one vector by product-quantised codes and exact re-ranking."""
-    rows = vt(spark, sf_dir)
-    books = CodeBooks.fit(prepared(Metric.COSINE, sample_matrix(rows)), 16)
-    return pq_batch(rows, [(0, query_vector(rows))], books, Metric.COSINE, 10)
+    """Ten nearest to one vector by a product-quantised index."""
+    return index_of(spark, sf_dir, L.IVF_PQ).query_batch([(0, query_vector(vt(spark, sf_dir)))])
 
 
 # -- statistics --------------------------------------------------------------------------------------------------

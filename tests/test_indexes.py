@@ -92,3 +92,22 @@ def test_session(spark, tmp_path):
     found = s.query(q, 5, L.Knobs(5, 4, 64))
     assert found["recall"] == 1.0 and found["hits"][0]["id"] == 7
     assert s.bench([q], 1)["recall"] > 0.5 and s.status()["vectors"] == 400
+
+
+def test_defaults_are_measured(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    data = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(rng.normal(size=(600, 16)))], "id long, vector array<float>")
+    asked = [(i, r["vector"]) for i, r in enumerate(data.where("id % 20 = 0").collect())]
+    truth = {(r["query_id"], r["id"]) for r in S.batch_knn(data, asked, Metric.COSINE, 10).collect()}
+    for kind in (L.HNSW, L.IVF_PQ):
+        index = VectorIndex(spark, f"file://{tmp_path}/{kind}", 16, Metric.COSINE)
+        index.write(data.union(data.where("id < 3")))  # repeated ids
+        index.build(L.default_params(kind, 16, 600))
+        found = index.query_batch(asked).collect()
+        assert len({(r["query_id"], r["id"]) for r in found} & truth) >= 0.9 * len(truth)
+        one = [(r["id"], round(r["distance"], 9)) for r in index.query(asked[3][1]).collect()]
+        assert one == [(r["id"], round(r["distance"], 9)) for r in sorted(found, key=lambda r: r["rank"]) if r["query_id"] == 3]
+        assert sum(r["id"] == 0 for r in index.query(asked[0][1]).collect()) == 2
+        index.write(spark.createDataFrame([(9999, asked[3][1])], "id long, vector array<double>"))
+        assert 9999 in {r["id"] for r in index.query_batch(asked[3:4], L.Knobs(5)).collect()}
+    assert L.default_params(L.HNSW, 16, 10**7).partitions == 40 and L.default_params(L.HNSW, 16, 10**9).partitions == 256
