@@ -4,7 +4,7 @@ The parser's events cut a page into lines, one for each block element, and count
 ratio of a line's characters to its tags is smoothed by a Gaussian along the page; lines whose smoothed ratio lies
 above the page's standard deviation form clusters. Elements that never hold the article (menus, headers, footers,
 sidebars, forms, scripts, and containers whose class, id or role says notice, advert, comments and the like) are left
-out before. If the page marks articles, an article that holds a cluster is kept whole, short lines too; else the
+out before; a form only if it holds neither an article nor most of the page's text. If the page marks articles, an article that holds a cluster is kept whole, short lines too; else the
 lines from each cluster's first to its last are kept, and lines between clusters that belong to the same container.
 
 Character references are decoded, white space inside a line becomes one space, empty lines go, lines are joined by a
@@ -30,7 +30,7 @@ BLOCKS = frozenset(
     "header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead title tr ul".split()
 )
 EMPTY = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-OUT = frozenset("script style noscript template nav footer aside form header head title menu iframe object svg canvas math select textarea button dialog audio video search datalist noembed noframes map applet".split())
+OUT = frozenset("script style noscript template nav footer aside header head title menu iframe object svg canvas math select textarea button dialog audio video search datalist noembed noframes map applet".split())
 #: Words of a container's class, id or role that say it holds no article text.
 OUT_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertisements advertising adsense adbox adslot banner banners sponsor sponsored sponsors promo promos promotion promoted "
@@ -39,12 +39,16 @@ OUT_WORDS = frozenset(
     "comment comments commentlist discussion disqus respond replies reply reactions share sharing social related recommended recommendations widget widgets "
     "pagination pager copyright disclaimer paywall hidden".split()
 )
-#: Those of them that are believed of a heading, a paragraph or a piece of a line too, and those not believed within an article.
+#: Those of them that are believed of a heading, a paragraph or a piece of a line too, and those not believed within an article,
+#: where a research article has a discussion and documentation has alerts.
 NARROW_WORDS = OUT_WORDS & frozenset(
     "ad ads adv advert adverts advertisement advertisements advertising sponsor sponsored sponsors promo promos promotion notice notices cookie cookies consent newsletter "
     "breadcrumb breadcrumbs comment comments disqus respond share sharing copyright disclaimer".split()
 )
-OF_ARTICLE = frozenset(("header", "masthead"))
+OF_ARTICLE = frozenset("header masthead discussion alert foot side form search register reply reactions complementary overlay".split())
+#: Believed within an article only where no word stands beside them but these.
+BOXES = frozenset("related recommended social replies respond".split())
+_BOX_PARTS = BOXES | frozenset("box block container wrapper list links posts articles stories news items section content area you may also like more read".split())
 #: Elements that are judged by the words; the article, and what else it consists of, are not.
 CONTAINERS = frozenset("div section ul ol dl table figure details center fieldset aside".split())
 NARROW = frozenset("p span li blockquote h2 h3 h4 h5 h6 a td tr small".split())
@@ -65,32 +69,34 @@ def _left_out(tag: str, attrs, within_article: bool) -> bool:
         if name in ("class", "id", "role") and value and (tag in CONTAINERS or tag in NARROW):
             known = OUT_WORDS if tag in CONTAINERS else NARROW_WORDS
             words = {w.lower() for w in _PART.split(_CAMEL.sub("-", value))}
-            if words & known - (OF_ARTICLE if within_article else frozenset()):
+            if within_article:
+                known = known - OF_ARTICLE - (frozenset() if words - {""} <= _BOX_PARTS else BOXES)
+            if words & known:
                 return True
     return False
 
 
 class Lines(HTMLParser):
-    """Lines of a page in order: text, tags taken, number of the article it lies in (0: none), number of its container."""
+    """Lines of a page in order: text, tags taken, number of the article it lies in (0: none), number of its container, whether it is mostly links, number of its form (0: none)."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.open: list[tuple[str, bool, int]] = []
         self.out = 0
+        self.form = self.forms = 0
+        self.holding: set[int] = set()  # forms that an article begins in
         self.article = self.articles = 0
         self.container, self.containers = 0, 0
         self.buffer: list[str] = []
         self.tags = self.links = self.linked = 0
-        self.found: list[tuple[str, int, int, int]] = []
+        self.found: list[tuple[str, int, int, int, bool, int]] = []
 
     def flush(self) -> None:
         if self.buffer:
             text = _SPACE.sub(" ", "".join(self.buffer)).strip()
             self.buffer = []
             if text:
-                # a line that is mostly links has as many tags as characters
-                tags = len(text) if 2 * self.linked > len(text) else max(1, self.tags)
-                self.found.append((text, tags, self.article, self.container))
+                self.found.append((text, self.tags, self.article, self.container, 2 * self.linked > len(text), self.form))
                 self.tags = self.linked = 0
 
     def handle_starttag(self, tag, attrs):
@@ -98,7 +104,7 @@ class Lines(HTMLParser):
             self.flush()
         self.tags += 1
         begins = tag == "article" or tag == "main" or ("role", "main") in attrs
-        if begins and self.out and not any(t in ("script", "style", "template", "noscript", "form", "dialog") for t, o, _ in self.open if o):
+        if begins and self.out and not any(t in ("script", "style", "template", "noscript", "dialog") for t, o, _ in self.open if o):
             if all(t in ("nav", "header", "div", "section", "ul", "li") for t, o, _ in self.open if o) and self.open[-1][0] not in ("div", "section"):
                 self.out = 0  # the menu before it was never ended
                 self.open = [(t, False, a) for t, o, a in self.open]
@@ -109,12 +115,16 @@ class Lines(HTMLParser):
         elif tag in ("li", "dt", "dd", "tr", "td", "th", "option") and self.open and self.open[-1][0] == tag:
             self._end(len(self.open) - 1)
         self.links += tag == "a"
+        if tag == "form" and not self.form:
+            self.forms += 1
+            self.form = self.forms
         leaves = _left_out(tag, attrs, bool(self.article))
         self.open.append((tag, leaves, self.article))
         self.out += leaves
         if begins and not self.out and not self.article:
             self.articles += 1
             self.article = self.articles
+            self.holding.add(self.form)
         if tag in ("div", "section", "article", "main", "body", "td"):
             self.containers += 1
             self.container = self.containers
@@ -127,6 +137,7 @@ class Lines(HTMLParser):
     def _end(self, at: int) -> None:
         for tag, leaves, article in reversed(self.open[at:]):
             self.links -= tag == "a"
+            self.form *= tag != "form"
             self.out -= leaves
             self.article = article
         del self.open[at:]
@@ -153,6 +164,7 @@ class Lines(HTMLParser):
 
 
 def lines(html: str) -> list[tuple[str, int, int, int]]:
+    """Text, tags, article and container of the lines that are in no form; a form that holds an article or most of the text is none."""
     parser = Lines()
     try:
         parser.feed(html)
@@ -160,7 +172,18 @@ def lines(html: str) -> list[tuple[str, int, int, int]]:
     except (AssertionError, ValueError):  # a marked section that the parser refuses: what is left is taken without its tags
         parser.handle_data(unescape(re.sub(r"<[^>]*>?", " ", parser.rawdata)))
     parser.flush()
-    return parser.found
+    size: dict[int, int] = {}
+    for text, _, _, _, linked, form in parser.found:
+        size[form] = size.get(form, 0) + len(text) * (not linked)
+    holds = parser.holding | {form for form, n in size.items() if 2 * n > sum(size.values())}
+    out, more = [], 0
+    for text, tags, article, container, linked, form in parser.found:
+        if form and form not in holds:
+            more += tags
+        else:  # a line that is mostly links has as many tags as characters
+            out.append((text, len(text) if linked else max(1, tags + more), article, container))
+            more = 0
+    return out
 
 
 def smooth(values: np.ndarray, sigma: float) -> np.ndarray:

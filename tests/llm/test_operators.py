@@ -393,6 +393,14 @@ def test_extraction(page):
     assert extract.main_text(page) == TEXT
 
 
+def test_words_that_an_article_may_use_and_forms_around_it():
+    kept = "<section id=discussion><p>What was found is discussed.</p></section><section id=related-work><p>Others did it before.</p></section><div class=alert><p>Do back up first.</p></div>"
+    page = f"<article>{ARTICLE}{kept}<div class='related-posts'><p>Another post</p></div><form><label>Your name</label></form></article>"
+    assert extract.main_text(page) == TEXT + "\nWhat was found is discussed.\nOthers did it before.\nDo back up first."
+    assert extract.main_text(f"<body><form id=aspnetForm><div class=menu><a href=1>One</a></div><main>{ARTICLE}</main></form></body>") == TEXT
+    assert extract.main_text(f"<body><form><div class=menu><a href=1>One</a></div><div>{ARTICLE}</div></form><form><p>Search</p></form></body>") == TEXT
+
+
 def test_extraction_of_odd_pages(spark):
     rows = [(1, "u", None), (1, "u", None), (2, None, ""), (3, "u", "plain text\nonly"), (None, "u", "<p>" * 5000 + "deep text"), (5, "u", "<![if x]><p>a</p><![endif]><div"), (6, "u", "<nav>never closed<article>" + ARTICLE)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "'clash' AS text", "1 AS n_chars")
