@@ -63,8 +63,9 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def arrow_rows(spark: SparkSession, rows: int) -> None:
-    """Bound the rows of one Arrow batch, and so what a Python worker holds of long texts."""
+    """Bound the rows and bytes of one Arrow batch, and so what a Python worker holds of long texts."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "16m")
 
 
 def partitions(spark: SparkSession) -> int:

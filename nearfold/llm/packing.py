@@ -10,7 +10,7 @@ window is cut into sequences whose lengths are powers of two, so no sequence nee
 
 Null and empty texts consist of the end id. Repeated rows and ids are documents of their own. An empty table gives no
 sequences. Columns besides doc_id and text are ignored. Shards are streamed in sorted order, one at a time, and begin
-anew after 64 MB of long documents' terms, so a task's memory is bounded whatever the rows are.
+anew after 8 MB of long documents' terms, so a task's memory is bounded whatever the rows are.
 """
 
 from __future__ import annotations
@@ -19,11 +19,12 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, column, concat_ranges, partitions, scratch_path
+from .common import arrow_rows, column, concat_ranges, partitions, scratch_path, slices, strings
 from .tokens import encoder, ended, vocabulary
 
 #: The usual constants of BM25.
@@ -42,9 +43,9 @@ def tokenized(docs: DataFrame, vocab: str, end_id: int, window: int) -> DataFram
     def of(batches):
         codec = encoder(vocab)
         for batch in batches:
-            for i in range(0, batch.num_rows, 500):
-                part = batch.slice(i, 500)
-                ids, offsets = ended(*codec.encode(column(part, "text").to_pylist()), end_id)
+            for i, j in slices(strings(column(batch, "text"))[1]):
+                part = batch.slice(i, j - i)
+                ids, offsets = ended(*codec.encode(column(part, "text")), end_id)
                 small = ids.astype("<u4" if codec.large else "<u2")
                 n = np.diff(offsets)
                 cuts = offsets[:-1] + n // window * window
@@ -69,24 +70,33 @@ def _terms(docs: list[np.ndarray], whole: list[bytes | None]) -> tuple[np.ndarra
     joint.sort()
     new = np.flatnonzero(np.r_[True, joint[1:] != joint[:-1]]) if len(joint) else np.zeros(0, np.int64)
     joint, tf = joint[new], np.diff(np.r_[new, len(joint)])
-    for i, w in enumerate(whole):
-        if w is not None:
-            pairs = np.frombuffer(w, "<u4").reshape(-1, 2).astype(np.int64)
-            at = int(np.searchsorted(joint, i << 32))
-            joint, tf = np.insert(joint, at, (i << 32) | pairs[:, 0]), np.insert(tf, at, pairs[:, 1])
+    known = [(i, np.frombuffer(w, "<u4").reshape(-1, 2)) for i, w in enumerate(whole) if w is not None]
+    if known:
+        joint = np.concatenate([joint, *[(i << 32) | pairs[:, 0].astype(np.int64) for i, pairs in known]])
+        tf = np.concatenate([tf, *[pairs[:, 1] for _, pairs in known]])
+        order = np.argsort(joint, kind="stable")
+        joint, tf = joint[order], tf[order]
     return joint >> 32, joint & 0xFFFFFFFF, tf
 
 
+def _of_batch(batch: pa.RecordBatch, kind: str):
+    """Row ranges of a batch of tokenized() with a few megabytes of ids, and their documents' terms."""
+    size = lambda name: pc.fill_null(pc.binary_length(column(batch, name)), 0).to_numpy(zero_copy_only=False)
+    for i, j in slices(np.r_[0, np.cumsum(size("rest") + size("whole"))]):
+        rest, whole = (column(batch, c)[i:j].to_pylist() for c in ("rest", "whole"))
+        yield i, j, _terms([np.frombuffer(x, kind) for x in rest], whole)
+
+
 def statistics(tokens: DataFrame, kind: str) -> tuple[np.ndarray, np.ndarray, float, int]:
     """Ids met, how many documents hold each, mean length and number of the documents, over all of them and all their ids."""
 
     def of(batches):
         count, length, docs = np.zeros(0, np.int64), 0, 0
         for batch in batches:
-            _, own, tf = _terms([np.frombuffer(x, kind) for x in column(batch, "rest").to_pylist()], column(batch, "whole").to_pylist())
-            found = np.bincount(own, minlength=len(count))
-            found[: len(count)] += count
-            count, length, docs = found, length + int(tf.sum()), docs + batch.num_rows
+            for i, j, (_, own, tf) in _of_batch(batch, kind):
+                found = np.bincount(own, minlength=len(count))
+                found[: len(count)] += count
+                count, length, docs = found, length + int(tf.sum()), docs + j - i
         some = np.flatnonzero(count)
         yield pa.RecordBatch.from_arrays([pa.array(np.r_[-2, -1, some], pa.int64()), pa.array(np.r_[docs, length, count[some]], pa.int64())], names=["term", "n"])
 
@@ -197,13 +207,13 @@ def pack(docs: DataFrame, vocab: str | None = None, end_id: int = 1, window: int
     def keyed(batches):
         idf, lone = shared.value, shared_lone.value
         for batch in batches:
-            owner, term, tf = _terms([np.frombuffer(x, kind) for x in column(batch, "rest").to_pylist()], column(batch, "whole").to_pylist())
-            asked = np.where(lone[term], 0.0, tf * idf[term])
-            order = np.lexsort((term, -asked, owner))
-            first = np.searchsorted(owner, np.arange(batch.num_rows))
-            second = np.minimum(first + 1, np.searchsorted(owner, np.arange(batch.num_rows), "right") - 1)
-            keys = [pa.array(np.where(asked[order[at]] > 0, term[order[at]], -1), pa.int64()) for at in (first, second)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *keys], names=[*batch.schema.names, "k1", "k2"])
+            for i, j, (owner, term, tf) in _of_batch(batch, kind):
+                asked = np.where(lone[term], 0.0, tf * idf[term])
+                order = np.lexsort((term, -asked, owner))
+                first = np.searchsorted(owner, np.arange(j - i))
+                second = np.minimum(first + 1, np.searchsorted(owner, np.arange(j - i), "right") - 1)
+                keys = [pa.array(np.where(asked[order[at]] > 0, term[order[at]], -1), pa.int64()) for at in (first, second)]
+                yield pa.RecordBatch.from_arrays([*(c[i:j] for c in batch.columns), *keys], names=[*batch.schema.names, "k1", "k2"])
 
     def of(batches):
         idf = shared.value
@@ -229,7 +239,7 @@ def pack(docs: DataFrame, vocab: str | None = None, end_id: int = 1, window: int
 
         for batch in batches:
             for doc_id, n, crcs, rest, whole in zip(*(column(batch, c).to_pylist() for c in ("doc_id", "n", "crcs", "rest", "whole"))):
-                if rows and (len(rows) >= shard_docs or held > 64 << 20):
+                if rows and (len(rows) >= shard_docs or held > 8 << 20):
                     yield done()
                     rows, held = [], 0
                 rows.append((doc_id, n, crcs, np.frombuffer(rest, kind), whole))
@@ -237,6 +247,8 @@ def pack(docs: DataFrame, vocab: str | None = None, end_id: int = 1, window: int
         if rows:
             yield done()
 
-    order = ["k1", "k2", "doc_id", "n", "rest"]  # doc_id too, so that many like documents are no large partition
-    placed = tokens.mapInArrow(keyed, "doc_id long, n long, crcs array<long>, rest binary, whole binary, k1 long, k2 long").repartitionByRange(min(shards, 4 * partitions(spark)), *order).sortWithinPartitions(*order)
+    # a range partitioning sends a sample of its keys to the driver: a hash stands for the ids; doc_id is among the keys so that many like documents are no large partition
+    order = ["k1", "k2", "doc_id", "n", "tie"]
+    placed = tokens.mapInArrow(keyed, "doc_id long, n long, crcs array<long>, rest binary, whole binary, k1 long, k2 long").withColumn("tie", F.xxhash64("rest"))
+    placed = placed.repartitionByRange(min(shards, partitions(spark)), *order).sortWithinPartitions(*order)
     return placed.select("doc_id", "n", "crcs", "rest", "whole").mapInArrow(of, PIECES)
