@@ -70,15 +70,18 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.margins(place, value, offsets).astype(np.float64), -40, 40)))
 
 
-def fit(place: np.ndarray, value: np.ndarray, offsets: np.ndarray, label: np.ndarray, bits: int, rank: int = 4, epochs: int = 16, rate: float = 0.1, decay: float = 2e-3, least: int | None = None, seed: int = 11) -> Model:
-    """A model of rows of terms; terms in fewer than `least` rows (a 250th of all, 3 at least) are not learned from."""
+def fit(place: np.ndarray, value: np.ndarray, offsets: np.ndarray, label: np.ndarray, bits: int, rank: int = 4, epochs: int = 16, rate: float = 0.1, decay: float = 2e-3, least: int | None = None, screen: float = 0.0, seed: int = 11) -> Model:
+    """A model of rows of terms. Terms in fewer than `least` rows (a 250th of all, 3 at least) are not learned from, nor
+    those whose rows are labelled 1 about as often as all rows are, by less than `screen` standard errors."""
     least = least or max(3, len(label) // 250)
     size = 1 << bits
     rate_of = (label.sum() + 1.0) / (len(label) + 2.0)
     model = Model(bits, float(np.log(rate_of / (1 - rate_of))), np.zeros(size, np.float32), np.zeros((size, rank), np.float32))
     if not 0 < label.sum() < len(label):
         return model
-    used = np.bincount(place, minlength=size) >= least
+    of_term = np.bincount(place, minlength=size)
+    above = np.bincount(place, np.repeat(label - label.mean(), np.diff(offsets)), minlength=size)
+    used = (of_term >= least) & (np.abs(above) >= screen * np.sqrt(of_term * label.mean() * (1 - label.mean())))
     dense = np.cumsum(used) - 1
     rng, m = np.random.default_rng(seed), int(used.sum())
     w, f = np.zeros(m), rng.normal(0, 0.01, (m, rank))
@@ -116,7 +119,7 @@ def fit(place: np.ndarray, value: np.ndarray, offsets: np.ndarray, label: np.nda
     return model
 
 
-def fit_calibrated(place: np.ndarray, value: np.ndarray, offsets: np.ndarray, label: np.ndarray, bits: int, threshold: float = 0.7, share: float = 0.2, **options) -> Model:
+def fit_calibrated(place: np.ndarray, value: np.ndarray, offsets: np.ndarray, label: np.ndarray, bits: int, threshold: float = 0.7, share: float = 0.4, **options) -> Model:
     """A model of the first rows whose bias is moved so that `threshold` is where the other rows are told apart best; a clean row lost counts twice."""
     cut = len(label) - int(share * len(label))
     model = fit(place[: offsets[cut]], value[: offsets[cut]], offsets[: cut + 1], label[:cut], bits, **options)
@@ -150,8 +153,9 @@ def _hashed(bits: int):
     return of
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = 8000, bits: int = 18, **options) -> Model:
-    """labels: doc_id, label (0 or 1). At most `sample` labelled texts' terms go to the driver, a few kilobytes each."""
+def train(docs: DataFrame, labels: DataFrame, sample: int = 8000, bits: int = 18, screen: float = 2.0, **options) -> Model:
+    """labels: doc_id, label (0 or 1). Terms that tell nothing by `screen` standard errors are left out, else the many
+    such terms of a long text outweigh the few that do. At most `sample` labelled texts' terms go to the driver, a few kilobytes each."""
     arrow_rows(docs.sparkSession, 1000)
     known = labels.where("label IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("label").alias("label"))
     picked = known.orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id").limit(sample)
@@ -160,7 +164,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 8000, bits: int = 18
     place = np.frombuffer(b"".join(rows["places"].to_pylist()), np.int32)
     value = np.frombuffer(b"".join(rows["values"].to_pylist()), np.float32)
     offsets = np.r_[0, np.cumsum([len(p) // 4 for p in rows["places"].to_pylist()])].astype(np.int64)
-    return fit_calibrated(place, value, offsets, rows["label"].to_numpy().astype(np.float64), bits, **options)
+    return fit_calibrated(place, value, offsets, rows["label"].to_numpy().astype(np.float64), bits, screen=screen, **options)
 
 
 def score(docs: DataFrame, model: Model, threshold: float = 0.7, names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
