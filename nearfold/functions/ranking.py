@@ -6,20 +6,33 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def global_rank(rows: DataFrame, order: list[str], name: str = "rank") -> DataFrame:
+def bucket_of(value: Column, cuts: list[float]) -> Column:
+    """How many of the ascending cuts lie below value; found among about the square root of them, then within one stretch."""
+    if not cuts:
+        return F.lit(0)
+    stretch = max(1, int(len(cuts) ** 0.5))
+    parts = [cuts[i : i + stretch] for i in range(0, len(cuts), stretch)]
+    below = lambda found: F.size(F.filter(found, lambda c: c < value))
+    coarse = F.greatest(below(F.array(*[F.lit(float(p[0])) for p in parts])) - 1, F.lit(0))
+    fine = F.element_at(F.array(*[F.array(*[F.lit(float(c)) for c in p]) for p in parts]), coarse + 1)
+    return coarse * stretch + below(fine)
+
+
+def global_rank(rows: DataFrame, order: list[str], name: str = "rank", weight: str | None = None) -> DataFrame:
     """rows with a dense rank from 0 in that order: rows fall into buckets at quantiles of the first column, which is a
-    number, ranks run within buckets, and each bucket begins where the counts before it end."""
+    number, ranks run within buckets, and each bucket begins where the counts before it end. With a weight, the rank is
+    the sum of the weights before a row, so that rows alike can be counted first and a frequent value is one row."""
     spark = rows.sparkSession
     n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     first = F.col(order[0]).cast("double")
     cuts = sorted(set(rows.select(first.alias("x")).approxQuantile("x", [i / n for i in range(1, n)], 0.5 / n))) if n > 1 else []
-    bucket: Column = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c < first)) if cuts else F.lit(0)
-    placed = rows.withColumn("rank_bucket", bucket)
-    counts = {r["rank_bucket"]: r["count"] for r in placed.groupBy("rank_bucket").count().collect()}  # a row for each bucket
+    placed = rows.withColumn("rank_bucket", bucket_of(first, cuts))
+    size = F.count(F.lit(1)) if weight is None else F.sum(weight)
+    counts = {r["rank_bucket"]: r["size"] for r in placed.groupBy("rank_bucket").agg(size.alias("size")).collect()}  # a row for each bucket
     begin, at = [], 0
-    for b in sorted(counts):
-        begin.append((b, at))
-        at += counts[b]
-    offsets = F.broadcast(spark.createDataFrame(begin or [(0, 0)], "rank_bucket int, rank_first long"))
-    within = F.row_number().over(Window.partitionBy("rank_bucket").orderBy(*order))
-    return placed.withColumn("rank_within", within).join(offsets, "rank_bucket").withColumn(name, F.col("rank_first") + F.col("rank_within") - 1).drop("rank_bucket", "rank_within", "rank_first")
+    for b in range(len(cuts) + 1):
+        begin.append(F.lit(at).cast("long"))
+        at += counts.get(b, 0)
+    inside = Window.partitionBy("rank_bucket").orderBy(*order)
+    within = F.row_number().over(inside) - 1 if weight is None else F.sum(weight).over(inside.rowsBetween(Window.unboundedPreceding, 0)) - F.col(weight)
+    return placed.withColumn(name, within + F.element_at(F.array(*begin), F.col("rank_bucket") + 1)).drop("rank_bucket")

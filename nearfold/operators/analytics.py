@@ -27,14 +27,21 @@ def mean_recall(found: DataFrame, truth: DataFrame, empty: str = "skip") -> Data
     return recall(found, truth, empty).agg(F.avg("recall").alias("recall"))
 
 
+def _at_ranks(known: DataFrame, wanted: dict, name: str, kind: str) -> DataFrame:
+    """name and the value at each wanted rank of known (v): values are counted first, so a frequent one is one row."""
+    if not wanted:
+        return known.sparkSession.createDataFrame([], f"{name} {kind}, value {known.schema['v'].dataType.simpleString()}")
+    ranked = global_rank(known.groupBy("v").agg(F.count(F.lit(1)).alias("copies")), ["v"], weight="copies")
+    asked = F.array(*[F.struct(F.lit(key).cast(kind).alias("key"), F.lit(r).cast("long").alias("rank")) for key, r in wanted.items()])
+    here = F.filter(asked, lambda a: (a["rank"] >= F.col("rank")) & (a["rank"] < F.col("rank") + F.col("copies")))
+    return ranked.select(F.explode(here).alias("at"), "v").select(F.col("at.key").alias(name), F.col("v").alias("value"))
+
+
 def percentiles(rows: DataFrame, value: str, percents: list[int]) -> DataFrame:
     """percent and the value at rank floor((n - 1) p / 100), exactly, from ranks over all rows."""
     known = rows.where(F.col(value).isNotNull()).select(F.col(value).alias("v"))
     n = known.count()
-    wanted = {p: (n - 1) * p // 100 for p in percents}
-    ranked = global_rank(known, ["v"]).where(F.col("rank").isin(sorted(set(wanted.values()))) if n else F.lit(False))
-    ranks = rows.sparkSession.createDataFrame([(p, r) for p, r in wanted.items()] if n else [], "percent int, rank long")
-    return ranks.join(ranked, "rank").select("percent", F.col("v").alias("value"))
+    return _at_ranks(known, {p: (n - 1) * p // 100 for p in percents} if n else {}, "percent", "int")
 
 
 def nearest_rank(rows: DataFrame, value: str, quantiles: list[float]) -> DataFrame:
@@ -42,9 +49,7 @@ def nearest_rank(rows: DataFrame, value: str, quantiles: list[float]) -> DataFra
     known = rows.where(F.col(value).isNotNull()).select(F.col(value).alias("v"))
     n = known.count()
     wanted = {q: min(max(int(np.ceil(q * n - 1e-12)) - 1, 0), max(n - 1, 0)) for q in quantiles}
-    ranked = global_rank(known, ["v"]).where(F.col("rank").isin(sorted(set(wanted.values()))) if n else F.lit(False))
-    ranks = rows.sparkSession.createDataFrame([(q, r) for q, r in wanted.items()] if n else [], "quantile double, rank long")
-    return ranks.join(ranked, "rank").select("quantile", F.col("v").alias("value"))
+    return _at_ranks(known, wanted if n else {}, "quantile", "double")
 
 
 def summary(rows: DataFrame, value: str) -> DataFrame:

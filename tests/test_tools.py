@@ -1,4 +1,8 @@
+from pyspark.sql import functions as F
+
 from nearfold import observability as O
+from nearfold.functions.ranking import bucket_of
+from nearfold.operators import analytics as A
 from nearfold.operators.index import VectorIndex
 from nearfold.operators.sweeps import compare, sweep
 from nearfold.plans import ladder as L
@@ -35,3 +39,14 @@ def test_events(spark):
         rows, watch = O.observed(spark.range(5), "w")
         rows.collect()
     assert [(k, n) for k, n, _ in events] == [("histogram", "rows"), ("span", "search")] and watch.get == {"rows": 5}
+
+
+def test_ranks_with_a_frequent_value(spark):
+    values = sorted([5.0] * 400 + [float(i % 37) for i in range(300)])
+    rows = spark.createDataFrame([(v,) for v in reversed(values)] + [(None,)], "value double")
+    got = {r["percent"]: r["value"] for r in A.percentiles(rows, "value", [0, 10, 50, 90, 100]).collect()}
+    assert got == {p: values[(len(values) - 1) * p // 100] for p in got} and len(got) == 5
+    assert A.percentiles(rows.limit(0), "value", [50]).count() == 0
+    cuts = [float(i) for i in range(0, 300, 3)]
+    placed = spark.range(400).select("id", bucket_of(F.col("id").cast("double") - 10, cuts).alias("b")).collect()
+    assert all(r["b"] == sum(c < r["id"] - 10 for c in cuts) for r in placed)
