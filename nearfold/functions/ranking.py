@@ -18,21 +18,22 @@ def bucket_of(value: Column, cuts: list[float]) -> Column:
     return coarse * stretch + below(fine)
 
 
-def global_rank(rows: DataFrame, order: list[str], name: str = "rank", weight: str | None = None) -> DataFrame:
+def quantile_cuts(rows: DataFrame, value: Column) -> list[float]:
+    """Ascending numbers near the quantiles of value over all rows, fewer than there are shuffle partitions."""
+    n = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return sorted(set(rows.select(value.alias("x")).approxQuantile("x", [i / n for i in range(1, n)], 0.5 / n))) if n > 1 else []
+
+
+def global_rank(rows: DataFrame, order: list[str], name: str = "rank") -> DataFrame:
     """rows with a dense rank from 0 in that order: rows fall into buckets at quantiles of the first column, which is a
-    number, ranks run within buckets, and each bucket begins where the counts before it end. With a weight, the rank is
-    the sum of the weights before a row, so that rows alike can be counted first and a frequent value is one row."""
-    spark = rows.sparkSession
-    n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    number, ranks run within buckets, and each bucket begins where the counts before it end."""
     first = F.col(order[0]).cast("double")
-    cuts = sorted(set(rows.select(first.alias("x")).approxQuantile("x", [i / n for i in range(1, n)], 0.5 / n))) if n > 1 else []
+    cuts = quantile_cuts(rows, first)
     placed = rows.withColumn("rank_bucket", bucket_of(first, cuts))
-    size = F.count(F.lit(1)) if weight is None else F.sum(weight)
-    counts = {r["rank_bucket"]: r["size"] for r in placed.groupBy("rank_bucket").agg(size.alias("size")).collect()}  # a row for each bucket
+    counts = {r["rank_bucket"]: r["count"] for r in placed.groupBy("rank_bucket").count().collect()}  # a row for each bucket
     begin, at = [], 0
     for b in range(len(cuts) + 1):
         begin.append(F.lit(at).cast("long"))
         at += counts.get(b, 0)
-    inside = Window.partitionBy("rank_bucket").orderBy(*order)
-    within = F.row_number().over(inside) - 1 if weight is None else F.sum(weight).over(inside.rowsBetween(Window.unboundedPreceding, 0)) - F.col(weight)
+    within = F.row_number().over(Window.partitionBy("rank_bucket").orderBy(*order)) - 1
     return placed.withColumn(name, within + F.element_at(F.array(*begin), F.col("rank_bucket") + 1)).drop("rank_bucket")

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.ranking import global_rank
+from ..functions.ranking import bucket_of, quantile_cuts
 
 
 def recall(found: DataFrame, truth: DataFrame, empty: str = "skip") -> DataFrame:
@@ -27,29 +28,37 @@ def mean_recall(found: DataFrame, truth: DataFrame, empty: str = "skip") -> Data
     return recall(found, truth, empty).agg(F.avg("recall").alias("recall"))
 
 
-def _at_ranks(known: DataFrame, wanted: dict, name: str, kind: str) -> DataFrame:
-    """name and the value at each wanted rank of known (v): values are counted first, so a frequent one is one row."""
-    if not wanted:
-        return known.sparkSession.createDataFrame([], f"{name} {kind}, value {known.schema['v'].dataType.simpleString()}")
-    ranked = global_rank(known.groupBy("v").agg(F.count(F.lit(1)).alias("copies")), ["v"], weight="copies")
-    asked = F.array(*[F.struct(F.lit(key).cast(kind).alias("key"), F.lit(r).cast("long").alias("rank")) for key, r in wanted.items()])
-    here = F.filter(asked, lambda a: (a["rank"] >= F.col("rank")) & (a["rank"] < F.col("rank") + F.col("copies")))
-    return ranked.select(F.explode(here).alias("at"), "v").select(F.col("at.key").alias(name), F.col("v").alias("value"))
+def _at_ranks(rows: DataFrame, value: str, wanted: Callable[[int], dict], name: str, kind: str) -> DataFrame:
+    """name and the value at each wanted rank among the n values that are not null; wanted: the ranks by name, given n.
+
+    Rows are counted by buckets between quantiles, and only the buckets that hold a wanted rank are looked into; there
+    equal values are counted first, so a frequent one is one row.
+    """
+    known = rows.where(F.col(value).isNotNull()).select(F.col(value).alias("v"))
+    number = F.col("v").cast("double")
+    placed = known.withColumn("bucket", bucket_of(number, quantile_cuts(known, number)))
+    counts = {r["bucket"]: r["count"] for r in placed.groupBy("bucket").count().collect()}  # a row for each bucket
+    begin, n = {}, 0
+    for b in sorted(counts):
+        begin[b], n = n, n + counts[b]
+    if not n:
+        return rows.sparkSession.createDataFrame([], f"{name} {kind}, value {known.schema['v'].dataType.simpleString()}")
+    asked = [(key, b, r - begin[b]) for key, r in wanted(n).items() for b in begin if begin[b] <= r < begin[b] + counts[b]]
+    copies = placed.where(F.col("bucket").isin([b for _, b, _ in asked])).groupBy("bucket", "v").agg(F.count(F.lit(1)).alias("copies"))
+    before = F.sum("copies").over(Window.partitionBy("bucket").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)) - F.col("copies")
+    places = F.array(*[F.struct(F.lit(key).cast(kind).alias("key"), F.lit(b).alias("bucket"), F.lit(r).cast("long").alias("rank")) for key, b, r in asked])
+    here = F.filter(places, lambda a: (a["bucket"] == F.col("bucket")) & (a["rank"] >= F.col("before")) & (a["rank"] < F.col("before") + F.col("copies")))
+    return copies.withColumn("before", before).select(F.explode(here).alias("at"), "v").select(F.col("at.key").alias(name), F.col("v").alias("value"))
 
 
 def percentiles(rows: DataFrame, value: str, percents: list[int]) -> DataFrame:
-    """percent and the value at rank floor((n - 1) p / 100), exactly, from ranks over all rows."""
-    known = rows.where(F.col(value).isNotNull()).select(F.col(value).alias("v"))
-    n = known.count()
-    return _at_ranks(known, {p: (n - 1) * p // 100 for p in percents} if n else {}, "percent", "int")
+    """percent and the value at rank floor((n - 1) p / 100), exactly."""
+    return _at_ranks(rows, value, lambda n: {p: (n - 1) * p // 100 for p in percents}, "percent", "int")
 
 
 def nearest_rank(rows: DataFrame, value: str, quantiles: list[float]) -> DataFrame:
     """quantile and the value at rank ceil(q n), at least the first."""
-    known = rows.where(F.col(value).isNotNull()).select(F.col(value).alias("v"))
-    n = known.count()
-    wanted = {q: min(max(int(np.ceil(q * n - 1e-12)) - 1, 0), max(n - 1, 0)) for q in quantiles}
-    return _at_ranks(known, wanted if n else {}, "quantile", "double")
+    return _at_ranks(rows, value, lambda n: {q: min(max(int(np.ceil(q * n - 1e-12)) - 1, 0), n - 1) for q in quantiles}, "quantile", "double")
 
 
 def summary(rows: DataFrame, value: str) -> DataFrame:
