@@ -10,10 +10,10 @@ keep the search exact and small.
    (capped at 255, so that one batch with a very frequent shingle settles its level and sends one entry for it). Two
    linked sets share one of their floor((1 - t) n) + 1 rarest shingles; classes that share one are joined into blocks
    by connected components over star links, never by pairs.
-3. Search. A block's sets are indexed in one task (a large block's in pairs of chunks of bounded size). Each set in
-   turn is a query: of its lists, the longest are left aside, the short ones are merged, candidates that occur often
-   enough and are not yet in the query's component are looked up in the long lists by binary search (DivideSkip), and
-   those that reach the overlap are linked. A task emits a forest of links.
+3. Search. A block's sets are indexed in one task (a large block's in chunks of bounded size). Each set in turn is a
+   query: of its lists, the longest are left aside, the short ones are merged, candidates that occur often enough and
+   are not yet in the query's component are looked up in the long lists by binary search (DivideSkip), and those that
+   reach the overlap are linked. Sets of a block's largest component need not be queries. A task emits a forest of links.
 
 Null and empty texts, and texts without words, have empty sets and link with nothing, as do rows with a null doc_id,
 whose component is null. Rows that repeat a doc_id with another text each get their own text's component. Extra
@@ -35,6 +35,8 @@ from .textvec import mix, shingle_sets
 NUMERATOR, DENOMINATOR, WORDS = 80, 100, 5
 #: Most classes and shingles of a chunk of a large block.
 CHUNK_SETS, CHUNK_SHINGLES = 2048, 2_000_000
+#: About as many sets of a large block are asked for in all of its chunks first.
+PIVOTS = 64
 _U = np.uint64
 _LOW40 = _U((1 << 40) - 1)
 
@@ -182,7 +184,7 @@ def _unpacked(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _dealt(rows: DataFrame, shards: int) -> DataFrame:
-    return rows.repartition(shards, "shard").sortWithinPartitions("shard")
+    return rows.repartitionById(shards, "shard").sortWithinPartitions("shard")
 
 
 def _screen(docs: DataFrame, shards: int) -> DataFrame:
@@ -285,7 +287,10 @@ def _rarest(sets: DataFrame, shards: int) -> DataFrame:
 def search(sizes: np.ndarray, hashes: np.ndarray, side: np.ndarray | None = None) -> Forest:
     """Components of sets (sizes, all hashes one after the other) under links of at least the likeness, by T-occurrence.
 
-    side: 0 and 1 for the sets of two chunks, of which only pairs across are looked for.
+    Sets are asked for in turn until only sets of the largest component are left: a link from one of those to another
+    component was found when the other's set was asked for, and links within a component add nothing.
+
+    side: 0 and 1 for the sets of two chunks, of which only pairs across are looked for; those of side 1 are asked for.
     """
     m = len(sizes)
     forest = Forest(m)
@@ -298,12 +303,10 @@ def search(sizes: np.ndarray, hashes: np.ndarray, side: np.ndarray | None = None
     lists = owner[order]
     begins = np.searchsorted(code[order], np.arange(int(code.max()) + 2 if len(code) else 1))
     length = np.diff(begins)
-    root = np.arange(m)
-    stamp = 0
-    for q in range(m) if side is None else np.flatnonzero(side == 1):
+    root, done = np.arange(m), np.zeros(m, bool)
+
+    def ask(q: int) -> None:
         n = int(sizes[q])
-        if not n:
-            continue
         codes = code[offsets[q] : offsets[q + 1]]
         least = -(-n * NUMERATOR // DENOMINATOR)  # no linked set shares fewer
         lens = length[codes]
@@ -312,18 +315,10 @@ def search(sizes: np.ndarray, hashes: np.ndarray, side: np.ndarray | None = None
         longest = max(1, int(lens[by[-1]]))
         aside = min(least - 1, int(least / (0.05 * np.log2(longest) + 1)))
         short, long = codes[by[: n - aside]], codes[by[n - aside :]]
-        merged = lists[concat_ranges(begins[short], length[short])]
-        if side is None:
-            merged = merged[merged < q]
-        if not len(merged):
-            continue
-        count = np.bincount(merged, minlength=0)
+        count = np.bincount(lists[concat_ranges(begins[short], length[short])], minlength=m)
         found = np.flatnonzero(count >= max(1, least - aside))
+        found = found[~done[found] & (root[found] != root[q])]
         found = found[(sizes[found] * DENOMINATOR >= n * NUMERATOR) & (n * DENOMINATOR >= sizes[found] * NUMERATOR)]
-        if not len(found):
-            continue
-        if stamp:
-            found = found[root[found] != root[q]]
         while len(found):
             some, found = found[:16], found[16:]
             overlap = count[some].copy()
@@ -332,14 +327,27 @@ def search(sizes: np.ndarray, hashes: np.ndarray, side: np.ndarray | None = None
                 at = np.searchsorted(own, some)
                 overlap += own[np.minimum(at, len(own) - 1)] == some if len(own) else 0
             linked = some[DENOMINATOR * overlap >= NUMERATOR * (n + sizes[some] - overlap)]
-            changed = False
-            for x in linked.tolist():
-                changed |= forest.union(int(q), x)
-            if changed:
+            if len(linked):
+                for x in linked.tolist():
+                    forest.union(q, x)
                 mine = np.unique(root[np.r_[linked, q]])
                 root[np.isin(root, mine)] = mine[0]
-                stamp = 1
                 found = found[root[found] != root[q]]
+
+    if side is not None:
+        for q in np.flatnonzero((side == 1) & (sizes > 0)).tolist():
+            ask(q)
+        return forest
+    done[sizes == 0] = True
+    while m:
+        largest = int(np.bincount(root, minlength=m).argmax())
+        left = np.flatnonzero(~done & (root != largest))
+        if not len(left):
+            break
+        for q in left[:64].tolist():
+            if root[q] != root[largest]:
+                ask(q)
+                done[q] = True
     return forest
 
 
@@ -348,14 +356,47 @@ def _search_task(key, table):
     table = table.combine_chunks()
     if table.num_rows == 0:
         return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
-    table = table.sort_by([("id", "ascending")])
-    ids, side = table["id"].to_numpy(), table["side"].to_numpy()
-    raw = table["hashes"].to_pylist()
-    sizes = np.array([len(x) // 8 for x in raw], np.int64)
-    forest = search(sizes, np.frombuffer(b"".join(raw), _U), None if (side < 0).all() else side)
-    roots = forest.roots()
-    other = np.flatnonzero(roots != np.arange(len(roots)))
-    return pa.table({"a": pa.array(ids[other], pa.int64()), "b": pa.array(ids[roots[other]], pa.int64())})
+    table = table.sort_by([("block", "ascending"), ("id", "ascending")])
+    block, ids, side = (table[c].to_numpy() for c in ("block", "id", "side"))
+    a, b = [], []
+    edges = np.flatnonzero(np.r_[True, block[1:] != block[:-1], True])
+    for i, j in zip(edges.tolist(), edges[1:].tolist()):
+        raw = table["hashes"][i:j].to_pylist()
+        sizes = np.array([len(x) // 8 for x in raw], np.int64)
+        roots = search(sizes, np.frombuffer(b"".join(raw), _U), side[i:j] if side[i] >= 0 else None).roots()
+        other = np.flatnonzero(roots != np.arange(len(roots)))
+        a.append(ids[i + other])
+        b.append(ids[i + roots[other]])
+    return pa.table({"a": pa.array(np.concatenate(a), pa.int64()), "b": pa.array(np.concatenate(b), pa.int64())})
+
+
+def _searched(work: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links of the sets (ref) that lie in one task and block, in a written table."""
+    rows = work.join(sets.select("ref", "hashes"), "ref").select("task", "block", "side", F.col("ref").alias("id"), "hashes")
+    return written(rows.groupBy("task").applyInArrow(_search_task, "a long, b long"), "found")
+
+
+def _search_large(large: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links of blocks of several chunks (ref, n, block, sets, chunks, own).
+
+    A few pivots of each block are asked for in each of its chunks; most near copies of one text then are in one
+    component, the block's largest. Then every set that is not in it is asked for in each chunk. Links within the
+    largest component add nothing, and each other link has an end that was asked for.
+    """
+    chunk = F.concat_ws(" ", "block", "own")
+    pivots = large.where(F.pmod(F.xxhash64("ref", F.lit(1)), F.col("sets")) < PIVOTS)
+    everywhere = pivots.withColumn("own", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    work = large.select("ref", "block", chunk.alias("task"), F.lit(0).alias("side")).union(everywhere.select("ref", "block", chunk, F.lit(1)))
+    first = _searched(work, sets)
+    joined = large.join(components(first).withColumnRenamed("node", "ref"), "ref", "left").withColumn("component", F.coalesce("component", "ref"))
+    largest = joined.groupBy("block", "component").count().groupBy("block").agg(F.max_by("component", F.struct("count", "component")).alias("largest"))
+    rest = written(joined.join(largest, "block").where("component <> largest").drop("component", "largest"), "rest")
+    parts = rest.groupBy("block").agg(F.greatest(F.ceil(F.count(F.lit(1)) / CHUNK_SETS), F.ceil(F.sum("n") / CHUNK_SHINGLES)).cast("int").alias("parts"))
+    task = F.concat_ws(" ", "block", "own", "part")
+    asked = rest.join(parts, "block").withColumn("part", F.pmod(F.xxhash64("ref", F.lit(2)), F.col("parts")).cast("int")).withColumn("own", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    within = large.join(parts, "block").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    work = within.select("ref", "block", task.alias("task"), F.lit(0).alias("side")).union(asked.select("ref", "block", task, F.lit(1)))
+    return first.union(_searched(work, sets))
 
 
 def refs(text: pa.Array) -> pa.Array:
@@ -404,17 +445,16 @@ def classed(docs: DataFrame) -> DataFrame:
     sized = written(blocks.join(sets.select("ref", "n"), "ref"), "blocks")
     plan = sized.groupBy("block").agg(F.count(F.lit(1)).alias("sets"), F.sum("n").alias("shingles"))
     chunks = F.greatest(F.ceil(F.col("sets") / CHUNK_SETS), F.ceil(F.col("shingles") / CHUNK_SHINGLES)).cast("int")
-    plan = plan.withColumn("chunks", chunks)
     bins = max(1, int(-(-(sized.agg(F.sum("n")).first()[0] or 0) // CHUNK_SHINGLES)), -(-sized.count() // CHUNK_SETS), 2 * spark.sparkContext.defaultParallelism)
-    placed = sized.select("ref", "block").join(plan.select("block", "chunks"), "block")
+    placed = sized.join(plan.withColumn("chunks", chunks), "block")
     own = F.pmod(F.xxhash64("ref"), F.col("chunks")).cast("int")
-    pairs = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda j: F.struct(F.least(j, "own").alias("x"), F.greatest(j, "own").alias("y")))
-    placed = placed.withColumn("own", own).select("ref", "block", "chunks", "own", F.explode(pairs).alias("pair"))
-    task = F.when(F.col("chunks") == 1, F.concat(F.lit("bin "), F.pmod(F.xxhash64("block"), F.lit(bins)).cast("string"))).otherwise(F.concat_ws(" ", "block", "pair.x", "pair.y"))
-    side = F.when(F.col("pair.x") == F.col("pair.y"), -1).when(F.col("own") == F.col("pair.x"), 0).otherwise(1)
-    work = placed.select("ref", task.alias("task"), side.cast("int").alias("side")).join(sets.select("ref", "id", "hashes"), "ref").select("task", "side", F.col("ref").alias("id"), "hashes")  # classes of one doc_id's texts may have the same id
+    placed = written(placed.withColumn("own", own).select("ref", "n", "block", "sets", "chunks", "own"), "placed")
     # 3: search within each task
-    links = written(work.groupBy("task").applyInArrow(_search_task, "a long, b long"), "found")
+    bundled = F.concat(F.lit("bin "), F.pmod(F.xxhash64("block"), F.lit(bins)).cast("string"))
+    links = _searched(placed.where("chunks = 1").select("ref", "block", bundled.alias("task"), F.lit(-1).alias("side")), sets)
+    large = placed.where("chunks > 1")
+    if not large.isEmpty():
+        links = links.union(_search_large(large, sets))
     found = written(components(links).select(F.col("node").alias("ref"), "component").join(sets.select("ref", "id"), "ref"), "components")
     smallest = found.groupBy("component").agg(F.min("id").alias("component_id"))
     found = found.join(smallest, "component").select("ref", "component", "component_id")

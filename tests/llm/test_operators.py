@@ -493,6 +493,22 @@ def test_large_blocks_in_chunks(spark, sets_most, monkeypatch):
     assert got == groups(list(enumerate(texts)))
 
 
+def test_large_block_of_several_components(spark, monkeypatch):
+    monkeypatch.setattr(tjoin, "CHUNK_SETS", 8)
+    monkeypatch.setattr(tjoin, "PIVOTS", 2)
+    rng = np.random.default_rng(8)
+    passage, rows = [f"p{i}" for i in range(60)], []
+    for g in range(12):  # groups that share a passage, too little to link them
+        own = [f"g{g}w{i}" for i in range(60)]
+        for _ in range(int(rng.integers(1, 12))):
+            t = [*own, *passage]
+            for at in rng.integers(0, 60, rng.integers(0, 5)):
+                t[at] = "e%d" % rng.integers(10**6)
+            rows.append((len(rows), " ".join(t)))
+    got = sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in tjoin.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
+    assert got == groups(rows) and len({c for _, _, c in got}) > 12
+
+
 def test_search_by_t_occurrence():
     rng = np.random.default_rng(6)
     for trial in range(20):
