@@ -208,25 +208,30 @@ class VectorIndex:
         rows, k = self.rows(), 10
         asked = rows.orderBy(F.xxhash64("id", F.lit(5)), "id").limit(TESTED).collect()
         queries = [(i, r["vector"]) for i, r in enumerate(asked)]
-        truth: dict[int, set] = {i: set() for i, _ in queries}
-        for r in S.batch_knn(rows, queries, self.metric, k).collect():
-            truth[r["query_id"]].add(r["id"])
-
-        def recall(probes: int, again: int) -> float:
-            hits = dict.fromkeys(truth, 0)
-            for r in self._batch(about, queries, k, probes, again).collect():
-                hits[r["query_id"]] += r["id"] in truth[r["query_id"]]
-            return float(np.mean([hits[i] / len(t) for i, t in truth.items()]))
-
-        cells = len(about["centres"])
-        again = AGAIN[-1]
+        truth = {(r["query_id"], r["id"]) for r in S.batch_knn(rows, queries, self.metric, k).collect()}
+        size = np.bincount([q for q, _ in truth], minlength=len(queries))
+        # the cell of each true neighbour: one scan of two columns
+        ids = self.spark.createDataFrame([(int(i),) for i in {i for _, i in truth}], "id long")
+        lies: dict[int, list[int]] = {}
+        for r in self._parts(about, range(len(about["centres"]))).select("id", "partition_id").join(F.broadcast(ids), "id").collect():
+            lies.setdefault(r["id"], []).append(r["partition_id"])
+        centres = np.array(about["centres"])
+        place = [np.argsort(probe_order(self.metric, centres, np.array(v, np.float64))) for _, v in queries]
+        needed = {(q, i): 1 + min(int(place[q][c]) for c in lies[i]) for q, i in truth}
+        coded = dict.fromkeys(truth, 0)
         if about["books"] is not None:
-            again = next((n for n in AGAIN if recall(cells, n) >= RECALL), AGAIN[-1])
-        low, high = 1, cells  # more probes never find less
-        while low < high:
-            middle = (low + high) // 2
-            low, high = (low, middle) if recall(middle, again) >= RECALL else (middle + 1, high)
-        return {"probes": low, "again": again}
+            coded = dict.fromkeys(truth, 1 + AGAIN[-1] * k)
+            for r in self._ranked(about, queries, AGAIN[-1] * k, len(centres)).collect():
+                if (at := (r["query_id"], r["id"])) in truth:
+                    coded[at] = min(coded[at], r["rank"])
+
+        def recall(probes: int, again: int) -> float:  # fewer probes only take rivals away, so this is the least that is found
+            hits = np.bincount([at[0] for at in truth if needed[at] <= probes and coded[at] <= again * k], minlength=len(queries))
+            return float((hits / size).mean())
+
+        again = next((n for n in AGAIN if recall(len(centres), n) >= RECALL), AGAIN[-1])
+        bar = min(RECALL, recall(len(centres), again))
+        return {"probes": next(p for p in range(1, len(centres) + 1) if recall(p, again) >= bar), "again": again}
 
     def _about(self) -> dict | None:
         names = self.index_names()
@@ -241,7 +246,7 @@ class VectorIndex:
         if about is None:
             return S.nearest(self.rows(), vector, self.metric, knobs.top_k).select("id", "distance")
         if about["books"] is not None:
-            return self._batch(about, [(0, vector)], knobs.top_k, knobs.probes, None).orderBy("rank").select("id", "distance")
+            return self._batch(about, [(0, vector)], knobs.top_k, knobs.probes).orderBy("rank").select("id", "distance")
         probed = probe_order(self.metric, np.array(about["centres"]), np.array(vector, np.float64))[: knobs.probes or about["probes"]]
         rows = self._parts(about, probed).select("id", "vector")
         late = self._late(about)
@@ -258,7 +263,7 @@ class VectorIndex:
             return S.batch_knn(self.rows(), queries, self.metric, knobs.top_k)
         # a block's vectors, and the candidates that a task keeps for it, are a few dozen megabytes
         each = max(1, S.QUERY_BYTES // (8 * max(self.dimension, 2 * knobs.top_k * (about["again"] if about["books"] else 1))))
-        parts = [self._batch(about, queries[at : at + each], knobs.top_k, knobs.probes, None) for at in range(0, len(queries), each)]
+        parts = [self._batch(about, queries[at : at + each], knobs.top_k, knobs.probes) for at in range(0, len(queries), each)]
         found = parts[0]
         for part in parts[1:]:
             found = found.union(part)
@@ -272,14 +277,19 @@ class VectorIndex:
         late = sorted(set(self.store.names("rows")) - set(about["covered"]))
         return self.spark.read.schema(ROWS).parquet(*[f"{self.root}/rows/{n}" for n in late]) if late else None
 
-    def _batch(self, about: dict, queries: list[tuple[int, list[float]]], k: int, probes: int | None, again: int | None) -> DataFrame:
-        names, matrix = np.array([q for q, _ in queries], np.int64), np.array([v for _, v in queries], np.float64)
-        centres, metric = np.array(about["centres"]), self.metric
+    def _asked(self, about: dict, queries: list[tuple[int, list[float]]], probes: int | None) -> np.ndarray:
+        """Whether each query looks into each partition."""
+        centres = np.array(about["centres"])
         asked = np.zeros((len(queries), len(centres)), bool)
-        for i, q in enumerate(matrix):
-            asked[i, probe_order(metric, centres, q)[: probes or about["probes"]]] = True
+        for i, (_, v) in enumerate(queries):
+            asked[i, probe_order(self.metric, centres, np.array(v, np.float64))[: probes or about["probes"]]] = True
+        return asked
+
+    def _ranked(self, about: dict, queries: list[tuple[int, list[float]]], wanted: int, probes: int | None) -> DataFrame:
+        """query_id, rank, id and distance of the best rows of the probed partitions, by exact distance or by that of codes."""
+        names, matrix, metric = np.array([q for q, _ in queries], np.int64), np.array([v for _, v in queries], np.float64), self.metric
+        asked = self._asked(about, queries, probes)
         books = CodeBooks([np.array(b) for b in about["books"]]) if about["books"] is not None else None
-        wanted = k if books is None else k * (again or about["again"])
         shared = self.spark.sparkContext.broadcast((names, matrix, prepared(metric, matrix), asked, books))
 
         def of(batches):
@@ -301,16 +311,21 @@ class VectorIndex:
             yield from best.batches(names)
 
         parts = self._parts(about, np.flatnonzero(asked.any(axis=0)))
-        found = S.merged_best(parts.select("id", "vector" if books is None else "codes", "partition_id").mapInArrow(of, S.BEST), wanted)
-        late = self._late(about)
-        if books is not None:  # ranked again by exact distance; an id may stand for several rows
+        return S.merged_best(parts.select("id", "vector" if books is None else "codes", "partition_id").mapInArrow(of, S.BEST), wanted)
+
+    def _batch(self, about: dict, queries: list[tuple[int, list[float]]], k: int, probes: int | None) -> DataFrame:
+        if about["books"] is None:
+            found = self._ranked(about, queries, k, probes)
+        else:  # ranked again by exact distance; an id may stand for several rows
+            named = self._ranked(about, queries, k * about["again"], probes).select("query_id", "id").distinct()
             vectors = self.spark.createDataFrame([(q, [float(x) for x in v]) for q, v in queries], "query_id long, query array<double>")
-            named = found.select("query_id", "id").distinct()  # at most `wanted` for each query
-            exact = parts.select("id", "vector").join(named, "id").join(F.broadcast(vectors), "query_id")
-            found = S.merged_best(exact.select("query_id", "id", distance(metric, F.col("vector"), F.col("query")).alias("distance")), k)
-        if late is not None:
-            found = S.merged_best(found.select("query_id", "id", "distance").union(S.batch_knn(late, queries, metric, k).select("query_id", "id", "distance")), k)
-        return found
+            probed = np.flatnonzero(self._asked(about, queries, probes).any(axis=0))
+            exact = self._parts(about, probed).select("id", "vector").join(named, "id").join(F.broadcast(vectors), "query_id")
+            found = S.merged_best(exact.select("query_id", "id", distance(self.metric, F.col("vector"), F.col("query")).alias("distance")), k)
+        late = self._late(about)
+        if late is None:
+            return found
+        return S.merged_best(found.union(S.batch_knn(late, queries, self.metric, k)).select("query_id", "id", "distance"), k)
 
     # ladder
 
