@@ -58,8 +58,8 @@ def _space_flags(data: np.ndarray) -> np.ndarray:
     return flags
 
 
-def piece_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Ascending starts of the pieces of UTF-8 texts that lie one after the other; each text that is not empty begins one."""
+def _cuts(data: np.ndarray) -> np.ndarray:
+    """Whether a piece begins at each byte, by the two bytes before it and the three from it on."""
     cut = np.zeros(len(data), bool)
     if len(data) > 2:
         space = _space_flags(data)
@@ -75,8 +75,17 @@ def piece_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         ends[leads[leads < len(ends)]] = True
         cut[1:] |= ends & punct[1:]
         cut[1:] |= punct[:-1] & (data[:-1] != 39) & alnum[1:]  # after an apostrophe a contraction may go on
-    cut[offsets[:-1][np.diff(offsets) > 0]] = True
-    return np.flatnonzero(cut)
+    return cut
+
+
+def piece_starts(data: np.ndarray, offsets: np.ndarray, window: int = CHUNK) -> np.ndarray:
+    """Ascending starts of the pieces of UTF-8 texts that lie one after the other; each text that is not empty begins one."""
+    found = [offsets[:-1][np.diff(offsets) > 0]]
+    for at in range(0, len(data), window):  # a few bytes more on either side decide the cuts at the edges
+        low = max(0, at - 8)
+        cuts = low + np.flatnonzero(_cuts(data[low : at + window + 8]))
+        found.append(cuts[(cuts >= at) & (cuts < at + window)])
+    return np.unique(np.concatenate(found))
 
 
 class WordEncoder:

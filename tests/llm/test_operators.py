@@ -361,6 +361,8 @@ def test_toxicity(spark, odd):
     got = toxicity.classify(odd, twice)
     assert got.count() == odd.count() and got.where("score IS NULL OR score < 0 OR score > 1").isEmpty()
     assert toxicity.classify(odd, labels.limit(0)).select("score").distinct().count() == 1
+    again = odd.selectExpr("doc_id", "text").union(spark.range(300).selectExpr("7 AS doc_id", "concat('copy ', id) AS text"))
+    assert toxicity.train(again, spark.createDataFrame([(7, 1), (8, 0)], "doc_id long, label int")).bits == 18  # one row of each doc_id is learned from
     assert toxicity.classify(odd.limit(0), labels).count() == 0
 
 
