@@ -34,7 +34,7 @@ from .textvec import mix, shingle_sets
 #: The least likeness, 80 of 100, and the words of a shingle.
 NUMERATOR, DENOMINATOR, WORDS = 80, 100, 5
 #: Most classes and shingles of a chunk of a large block.
-CHUNK_SETS, CHUNK_SHINGLES = 2048, 2_000_000
+CHUNK_SETS, CHUNK_SHINGLES = 1024, 2_000_000
 #: About as many sets of a large block are asked for in all of its chunks first.
 PIVOTS = 64
 _U = np.uint64
@@ -445,7 +445,7 @@ def classed(docs: DataFrame) -> DataFrame:
     sized = written(blocks.join(sets.select("ref", "n"), "ref"), "blocks")
     plan = sized.groupBy("block").agg(F.count(F.lit(1)).alias("sets"), F.sum("n").alias("shingles"))
     chunks = F.greatest(F.ceil(F.col("sets") / CHUNK_SETS), F.ceil(F.col("shingles") / CHUNK_SHINGLES)).cast("int")
-    bins = max(1, int(-(-(sized.agg(F.sum("n")).first()[0] or 0) // CHUNK_SHINGLES)), -(-sized.count() // CHUNK_SETS), 2 * spark.sparkContext.defaultParallelism)
+    bins = max(1, int(-(-(sized.agg(F.sum("n")).first()[0] or 0) // CHUNK_SHINGLES)), -(-sized.count() // CHUNK_SETS), partitions(spark))
     placed = sized.join(plan.withColumn("chunks", chunks), "block")
     own = F.pmod(F.xxhash64("ref"), F.col("chunks")).cast("int")
     placed = written(placed.withColumn("own", own).select("ref", "n", "block", "sets", "chunks", "own"), "placed")
