@@ -7,12 +7,13 @@ occur together. It is trained by Adagrad on at most `sample` labelled texts, cho
 every whole text, in Arrow batches, with the model (a fixed size) as a broadcast variable.
 
 Null and empty texts have no words but the length term, and get a score too. Null labels are left out; a document
-labelled twice counts once, as toxic if any label says so. Without both labels among the training rows every score is
+labelled twice counts once, as toxic if any label says so; of rows that repeat a doc_id one is learned from. Without both labels among the training rows every score is
 their smoothed rate. Extra columns of the inputs are ignored.
 """
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -159,12 +160,14 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 8000, bits: int = 18
     arrow_rows(docs.sparkSession, 1000)
     known = labels.where("label IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("label").alias("label"))
     picked = known.orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id").limit(sample)
-    texts = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select(F.col("label").cast("double").alias("label"), "text")
-    rows = texts.mapInArrow(_hashed(bits), "label double, places binary, values binary").orderBy(F.md5("places"), "places", "values").toArrow()
-    place = np.frombuffer(b"".join(rows["places"].to_pylist()), np.int32)
-    value = np.frombuffer(b"".join(rows["values"].to_pylist()), np.float32)
-    offsets = np.r_[0, np.cumsum([len(p) // 4 for p in rows["places"].to_pylist()])].astype(np.int64)
-    return fit_calibrated(place, value, offsets, rows["label"].to_numpy().astype(np.float64), bits, screen=screen, **options)
+    texts = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").groupBy("doc_id").agg(F.max("label").cast("double").alias("label"), F.min(F.coalesce("text", F.lit(""))).alias("text"))
+    rows = texts.select("label", "text").mapInArrow(_hashed(bits), "label double, places binary, values binary").toArrow()
+    found = sorted(zip(rows["places"].to_pylist(), rows["values"].to_pylist(), rows["label"].to_pylist()), key=lambda r: (hashlib.md5(r[0]).digest(), *r))
+    place = np.frombuffer(b"".join(p for p, _, _ in found), np.int32)
+    value = np.frombuffer(b"".join(v for _, v, _ in found), np.float32)
+    offsets = np.r_[0, np.cumsum([len(p) // 4 for p, _, _ in found])].astype(np.int64)
+    label = np.array([y for _, _, y in found], np.float64)
+    return fit_calibrated(place, value, offsets, label, bits, screen=screen, **options)
 
 
 def score(docs: DataFrame, model: Model, threshold: float = 0.7, names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
