@@ -189,7 +189,7 @@ def windows(docs: list[np.ndarray], idf: np.ndarray, mean: float, window: int, q
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-def pack(docs: DataFrame, vocab: str | None = None, end_id: int = 1, window: int = 2048, shard_docs: int = 512, query_terms: int | None = None) -> DataFrame:
+def pack(docs: DataFrame, vocab: str | None = None, end_id: int = 1, window: int = 2048, shard_docs: int = 1024, query_terms: int | None = None) -> DataFrame:
     """PIECES of every row of docs (doc_id, text)."""
     spark = docs.sparkSession
     vocab = vocab or vocabulary("byte_bpe_50k.json")
