@@ -141,7 +141,7 @@ def _stream(batches):
             held = (ids[-1:], texts[-1:], bucket[-1:], own[-1:], tuple(x[-1:] for x in lanes))
 
 
-def fingerprint(docs: DataFrame, per_partition: int = 3) -> DataFrame:
+def fingerprint(docs: DataFrame, per_partition: int = 1) -> DataFrame:
     """SCHEMA, one row for each row of docs (doc_id, text)."""
     spark = docs.sparkSession
     arrow_rows(spark, 2000)
@@ -159,5 +159,5 @@ def fingerprint(docs: DataFrame, per_partition: int = 3) -> DataFrame:
         return pd.Series([[int(b), before[k]] if k in before else [int(b)] for b, k in zip(own, keys)])
 
     rows = docs.select("doc_id", "text", key.alias("key")).select("doc_id", "text", "key", F.posexplode(places("key")).alias("pos", "bucket"))
-    rows = rows.repartition(partitions(spark), "bucket").sortWithinPartitions("bucket", "pos", F.col("key").desc(), "text")
+    rows = rows.repartitionById(partitions(spark), "bucket").sortWithinPartitions("bucket", "pos", F.col("key").desc(), "text")
     return rows.select("doc_id", "text", "pos", "bucket").mapInArrow(_stream, SCHEMA)
