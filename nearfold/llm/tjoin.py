@@ -377,14 +377,15 @@ def _searched(work: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _search_large(large: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links of blocks of several chunks (ref, n, block, sets, chunks, own).
+    """Links of blocks of several chunks (ref, n, block, sets, shingles, chunks, own).
 
     A few pivots of each block are asked for in each of its chunks; most near copies of one text then are in one
     component, the block's largest. Then every set that is not in it is asked for in each chunk. Links within the
     largest component add nothing, and each other link has an end that was asked for.
     """
     chunk = F.concat_ws(" ", "block", "own")
-    pivots = large.where(F.pmod(F.xxhash64("ref", F.lit(1)), F.col("sets")) < PIVOTS)
+    share = F.least(F.lit(PIVOTS) / F.col("sets"), F.lit(CHUNK_SHINGLES) / F.col("shingles"))  # no more shingles than a chunk's
+    pivots = large.where(F.pmod(F.xxhash64("ref", F.lit(1)), F.lit(1 << 30)) < share * (1 << 30))
     everywhere = pivots.withColumn("own", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     work = large.select("ref", "block", chunk.alias("task"), F.lit(0).alias("side")).union(everywhere.select("ref", "block", chunk, F.lit(1)))
     first = _searched(work, sets)
@@ -448,7 +449,7 @@ def classed(docs: DataFrame) -> DataFrame:
     bins = max(1, int(-(-(sized.agg(F.sum("n")).first()[0] or 0) // CHUNK_SHINGLES)), -(-sized.count() // CHUNK_SETS), partitions(spark))
     placed = sized.join(plan.withColumn("chunks", chunks), "block")
     own = F.pmod(F.xxhash64("ref"), F.col("chunks")).cast("int")
-    placed = written(placed.withColumn("own", own).select("ref", "n", "block", "sets", "chunks", "own"), "placed")
+    placed = written(placed.withColumn("own", own).select("ref", "n", "block", "sets", "shingles", "chunks", "own"), "placed")
     # 3: search within each task
     bundled = F.concat(F.lit("bin "), F.pmod(F.xxhash64("block"), F.lit(bins)).cast("string"))
     links = _searched(placed.where("chunks = 1").select("ref", "block", bundled.alias("task"), F.lit(-1).alias("side")), sets)
