@@ -3,7 +3,8 @@
 A source whose share of all characters is s gets the weight s**alpha (or one given by name), scaled so that the
 expected size of the result is `factor` times the input; its mean repetition rate is weight over share. A uniform
 number hashed from seed, doc_id and text is put through the inverse of the Poisson distribution with that mean; each
-document is exploded by its count, and a hash of seed, document and repetition orders the result over all partitions.
+document is exploded by its count, and a hash of seed, document and repetition orders the result over all partitions,
+whose bounds divide the hash's range evenly.
 
 Null sources are one source of their own, null texts count as empty; repeated rows draw alike. A source without
 characters keeps rate `factor`. The count is worked out for each row from its source's rate, so there may be any number
@@ -119,4 +120,6 @@ def replicate(docs: DataFrame, weights: dict[str, float] | None = None, alpha: f
         .select(*kept, own["key"], F.col(own["copies"]).alias(copies), F.col(own["rate"]).alias(rate), F.explode(F.sequence(F.col(own["block"]) * BLOCK + 1, last)).alias(repetition))
     )
     order = F.conv(F.substring(F.md5(F.concat_ws("|", own["key"], F.lit("order"), F.col(repetition).cast("string"))), 1, 15), 16, 10).cast("long")
-    return drawn.select(*kept, repetition, copies, rate, order.alias(shuffle_key)).repartitionByRange(partitions(spark), shuffle_key).sortWithinPartitions(shuffle_key)
+    n = partitions(spark)
+    part = F.shiftright(F.shiftright(shuffle_key, 30) * n, 30).cast("int")  # 60 bits, evenly dealt: no sample is needed for the cut points
+    return drawn.select(*kept, repetition, copies, rate, order.alias(shuffle_key)).repartitionById(n, part).sortWithinPartitions(shuffle_key)
