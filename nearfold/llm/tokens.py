@@ -80,12 +80,12 @@ def _cuts(data: np.ndarray) -> np.ndarray:
 
 def piece_starts(data: np.ndarray, offsets: np.ndarray, window: int = CHUNK) -> np.ndarray:
     """Ascending starts of the pieces of UTF-8 texts that lie one after the other; each text that is not empty begins one."""
-    found = [offsets[:-1][np.diff(offsets) > 0]]
+    cut = np.empty(len(data), bool)
     for at in range(0, len(data), window):  # a few bytes more on either side decide the cuts at the edges
         low = max(0, at - 8)
-        cuts = low + np.flatnonzero(_cuts(data[low : at + window + 8]))
-        found.append(cuts[(cuts >= at) & (cuts < at + window)])
-    return np.unique(np.concatenate(found))
+        cut[at : at + window] = _cuts(data[low : at + window + 8])[at - low : at - low + window]
+    cut[offsets[:-1][np.diff(offsets) > 0]] = True
+    return np.flatnonzero(cut)
 
 
 class WordEncoder:
