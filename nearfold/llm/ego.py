@@ -17,32 +17,40 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, column, partitions, written
+from .common import arrow_rows, column, concat_ranges, partitions, written
 from .components import Forest, components
 
 #: Vectors of a block, vectors of a leaf, principal dimensions.
 BLOCK, LEAF, DIMS = 1024, 64, 8
 
 
+def _usable(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Whether each row has a label and a vector that is neither zero nor holds null or non-finite components; all components, and each row's first and count."""
+    vectors = column(batch, "embedding")
+    lens = pc.fill_null(pc.list_value_length(vectors), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    values = vectors.flatten().to_numpy(zero_copy_only=False).astype("<f4", copy=False)  # a null component is not a number
+    first = np.cumsum(lens) - lens
+    some = np.flatnonzero(lens)
+    good = np.zeros(batch.num_rows, bool)
+    if len(some):
+        good[some] = np.logical_and.reduceat(np.isfinite(values), first[some]) & np.logical_or.reduceat(values != 0, first[some])
+    return good & column(batch, "label").is_valid().to_numpy(zero_copy_only=False), values, first, lens
+
+
 def _valid(batches):
     """Rows with usable vectors as raw 32-bit floats."""
     for batch in batches:
-        ids, labels, vectors = column(batch, "vec_id"), column(batch, "label").to_pylist(), column(batch, "embedding").to_pylist()
-        keep, raw, tags = [], [], []
-        for i, (label, v) in enumerate(zip(labels, vectors)):
-            if label is None or not v or any(x is None for x in v):
-                continue
-            x = np.array(v, np.float32)
-            if np.isfinite(x).all() and x.any():
-                keep.append(i)
-                raw.append(x.tobytes())
-                tags.append(label)
-        taken = ids.take(pa.array(keep, pa.int64())) if keep else ids.slice(0, 0)
-        yield pa.RecordBatch.from_arrays([taken.cast(pa.int64()), pa.array(tags, pa.int64()), pa.array(raw, pa.binary())], names=["vec_id", "label", "vec"])
+        good, values, first, lens = _usable(batch)
+        keep = np.flatnonzero(good)
+        raw = values[concat_ranges(first[keep], lens[keep])]
+        ends = pa.py_buffer(np.r_[0, np.cumsum(4 * lens[keep])].astype(np.int32).tobytes())
+        ids, labels = (column(batch, c).take(pa.array(keep)).cast(pa.int64()) for c in ("vec_id", "label"))
+        yield pa.RecordBatch.from_arrays([ids, labels, pa.Array.from_buffers(pa.binary(), len(keep), [None, ends, pa.py_buffer(raw.tobytes())])], names=["vec_id", "label", "vec"])
 
 
 def unit(raw: bytes | list[bytes], dim: int) -> np.ndarray:
@@ -198,10 +206,7 @@ def near_duplicates(embeddings: DataFrame, cosine: float = 0.93, sample: int = 1
 def _alone(batches):
     """Ids of the rows that _valid leaves out."""
     for batch in batches:
-        ids, labels, vectors = column(batch, "vec_id"), column(batch, "label").to_pylist(), column(batch, "embedding").to_pylist()
-        keep = [
-            i for i, (d, label, v) in enumerate(zip(ids.to_pylist(), labels, vectors))
-            if d is None or label is None or not v or any(x is None for x in v) or not (np.isfinite(x := np.array(v, np.float32)).all() and x.any())
-        ]
-        if keep:
-            yield pa.RecordBatch.from_arrays([ids.take(pa.array(keep, pa.int64())).cast(pa.int64())], names=["vec_id"])
+        ids = column(batch, "vec_id")
+        keep = np.flatnonzero(~_usable(batch)[0] | ids.is_null().to_numpy(zero_copy_only=False))
+        if len(keep):
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(keep)).cast(pa.int64())], names=["vec_id"])
