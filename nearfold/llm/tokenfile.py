@@ -158,7 +158,7 @@ def _open(path: str):
     return fs.FileSystem.from_uri(path)
 
 
-def write(docs: DataFrame, folder: str, vocab: str, end_id: int, per_partition: int = 2) -> DataFrame:
+def write(docs: DataFrame, folder: str, vocab: str, end_id: int, per_partition: int = 1) -> DataFrame:
     """Writes the files below folder; returns their catalogue, bucket, path, n_docs and n_tokens, in a table of its own."""
     from .common import written
 
@@ -197,7 +197,7 @@ def write(docs: DataFrame, folder: str, vocab: str, end_id: int, per_partition:
             yield done()
 
     rows = docs.select("doc_id", "text", key.alias("key")).withColumn("bucket", home("key"))
-    rows = rows.repartition(partitions(spark), "bucket").sortWithinPartitions("bucket", "key", "text")
+    rows = rows.repartitionById(partitions(spark), "bucket").sortWithinPartitions("bucket", "key", "text")
     return written(rows.select("doc_id", "text", "bucket").mapInArrow(put, "bucket int, path string, n_docs long, n_tokens long"), "catalogue")
 
 
