@@ -56,13 +56,36 @@ def expanded_l2(vector: Column, query: Column) -> Column:
     return F.greatest(F.lit(0.0), dot_product(vector, vector) + dot_product(query, query) - 2 * dot_product(vector, query))
 
 
+class Side:
+    """Vectors of one side of a matrix of distances, prepared once for many products: of unit length for cosine."""
+
+    def __init__(self, metric: Metric, x: np.ndarray):
+        self.metric, self.x = metric, x.astype(np.float64, copy=False)
+        self.squares = None if metric is Metric.DOT else (self.x * self.x).sum(1)
+        if metric is Metric.COSINE:
+            self.x = self.x / np.sqrt(np.where(self.squares > 0, self.squares, 1.0))[:, None]
+
+    def __len__(self) -> int:
+        return len(self.x)
+
+    def __getitem__(self, some) -> Side:
+        out = object.__new__(Side)
+        out.metric, out.x, out.squares = self.metric, self.x[some], None if self.squares is None else self.squares[some]
+        return out
+
+    def distances(self, other: Side, zero_norm: float = 1.0) -> np.ndarray:
+        """Distances of every vector (first axis) to every one of the other side, in double precision."""
+        product = self.x @ other.x.T
+        if self.metric is Metric.DOT:
+            return np.negative(product, out=product)
+        if self.metric is Metric.L2:
+            return np.maximum(0.0, self.squares[:, None] + other.squares[None, :] - 2 * product)
+        np.subtract(1.0, product, out=product)
+        product[self.squares == 0] = zero_norm
+        product[:, other.squares == 0] = zero_norm
+        return product
+
+
 def matrix_distances(metric: Metric, rows: np.ndarray, queries: np.ndarray, zero_norm: float = 1.0) -> np.ndarray:
     """Distances of every row (first axis) to every query, in double precision."""
-    a, b = rows.astype(np.float64), queries.astype(np.float64)
-    product = a @ b.T
-    if metric is Metric.DOT:
-        return -product
-    if metric is Metric.L2:
-        return np.maximum(0.0, (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2 * product)
-    scale = np.sqrt((a * a).sum(1))[:, None] * np.sqrt((b * b).sum(1))[None, :]
-    return 1.0 - np.divide(product, scale, out=np.full_like(product, 1.0 - zero_norm), where=scale > 0)
+    return Side(metric, rows).distances(Side(metric, queries), zero_norm)

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import DimensionMismatch, SchemaViolation
-from ..functions.distance import distance, matrix_distances
+from ..functions.distance import Side, distance, matrix_distances
 from ..plans import ladder as L
 from ..types import Metric
 from . import search as S
@@ -33,6 +33,8 @@ ROWS = "id long, vector array<float>"
 RECALL, TESTED, AGAIN = 0.97, 64, (5, 10, 20, 40, 80)
 #: Rows of one file of an index.
 FILE_ROWS = 500_000
+#: Digits of the distances by codes that count.
+CODE_DIGITS = 9
 
 
 def kmeans(points: np.ndarray, k: int, seed: int = 17, rounds: int = 15) -> np.ndarray:
@@ -115,13 +117,9 @@ class CodeBooks:
         parts = np.split(x, len(self.books), axis=1)
         return np.stack([matrix_distances(Metric.L2, p, b).argmin(1) for p, b in zip(parts, self.books)], axis=1).astype(np.uint8)
 
-    def distances(self, codes: np.ndarray, query: np.ndarray, metric: Metric) -> np.ndarray:
-        """Distances of coded rows to a query, from one table a part; cosine rows are of unit length."""
-        total = np.zeros(len(codes))
-        for i, (part, book) in enumerate(zip(np.split(query, len(self.books)), self.books)):
-            table = ((book - part) ** 2).sum(1) if metric is Metric.L2 else book @ part
-            total += table[codes[:, i]]
-        return total if metric is Metric.L2 else -total if metric is Metric.DOT else 1 - total
+    def decode(self, codes: np.ndarray) -> np.ndarray:
+        """The vectors that the codes stand for."""
+        return np.concatenate([book[codes[:, i]] for i, book in enumerate(self.books)], axis=1)
 
 
 class VectorIndex:
@@ -207,7 +205,7 @@ class VectorIndex:
         """The fewest probes, and candidates for each neighbour, with which an index reaches RECALL; measured against all rows."""
         rows, k = self.rows(), 10
         asked = rows.orderBy(F.xxhash64("id", F.lit(5)), "id").limit(TESTED).collect()
-        queries = [(i, r["vector"]) for i, r in enumerate(asked)]
+        queries = S.Queries.of([(i, r["vector"]) for i, r in enumerate(asked)])
         truth = {(r["query_id"], r["id"]) for r in S.batch_knn(rows, queries, self.metric, k).collect()}
         size = np.bincount([q for q, _ in truth], minlength=len(queries))
         # the cell of each true neighbour: one scan of two columns
@@ -246,24 +244,24 @@ class VectorIndex:
         if about is None:
             return S.nearest(self.rows(), vector, self.metric, knobs.top_k).select("id", "distance")
         if about["books"] is not None:
-            return self._batch(about, [(0, vector)], knobs.top_k, knobs.probes).orderBy("rank").select("id", "distance")
+            return self._batch(about, S.Queries.of([(0, vector)]), knobs.top_k, knobs.probes).orderBy("rank").select("id", "distance")
         probed = probe_order(self.metric, np.array(about["centres"]), np.array(vector, np.float64))[: knobs.probes or about["probes"]]
         rows = self._parts(about, probed).select("id", "vector")
         late = self._late(about)
         return S.nearest(rows if late is None else rows.union(late), vector, self.metric, knobs.top_k).select("id", "distance")
 
-    def query_batch(self, queries: list[tuple[int, list[float]]], knobs: L.Knobs = L.Knobs()) -> DataFrame:
+    def query_batch(self, queries: S.Queries | list[tuple[int, list[float]]], knobs: L.Knobs = L.Knobs()) -> DataFrame:
         """query_id, rank (from 1), id and distance of what query() finds for each of many vectors, in one job."""
         knobs.check()
-        for _, v in queries:
-            if len(v) != self.dimension:
-                raise DimensionMismatch(self.dimension, len(v))
+        for n in {queries.vectors.shape[1]} if isinstance(queries, S.Queries) and len(queries) else {len(v) for _, v in queries}:
+            if n != self.dimension:
+                raise DimensionMismatch(self.dimension, n)
         about = self._about()
-        if about is None or not queries:
+        if about is None or not len(queries):
             return S.batch_knn(self.rows(), queries, self.metric, knobs.top_k)
-        # a block's vectors, and the candidates that a task keeps for it, are a few dozen megabytes
-        each = max(1, S.QUERY_BYTES // (8 * max(self.dimension, 2 * knobs.top_k * (about["again"] if about["books"] else 1))))
-        parts = [self._batch(about, queries[at : at + each], knobs.top_k, knobs.probes) for at in range(0, len(queries), each)]
+        # the candidates that a task keeps for a block count for its size
+        blocks = S.Queries.of(queries).blocks(knobs.top_k * (about["again"] if about["books"] else 1))
+        parts = [self._batch(about, block, knobs.top_k, knobs.probes) for block in blocks]
         found = parts[0]
         for part in parts[1:]:
             found = found.union(part)
@@ -277,24 +275,27 @@ class VectorIndex:
         late = sorted(set(self.store.names("rows")) - set(about["covered"]))
         return self.spark.read.schema(ROWS).parquet(*[f"{self.root}/rows/{n}" for n in late]) if late else None
 
-    def _asked(self, about: dict, queries: list[tuple[int, list[float]]], probes: int | None) -> np.ndarray:
+    def _asked(self, about: dict, queries: S.Queries, probes: int | None) -> np.ndarray:
         """Whether each query looks into each partition."""
         centres = np.array(about["centres"])
         asked = np.zeros((len(queries), len(centres)), bool)
-        for i, (_, v) in enumerate(queries):
-            asked[i, probe_order(self.metric, centres, np.array(v, np.float64))[: probes or about["probes"]]] = True
+        for i in range(0, len(queries), S.TILE_ROWS):
+            d = matrix_distances(Metric.L2, prepared(self.metric, queries.vectors[i : i + S.TILE_ROWS]), centres)
+            np.put_along_axis(asked[i : i + S.TILE_ROWS], np.argsort(d, axis=1, kind="stable")[:, : probes or about["probes"]], True, axis=1)
         return asked
 
-    def _ranked(self, about: dict, queries: list[tuple[int, list[float]]], wanted: int, probes: int | None) -> DataFrame:
+    def _ranked(self, about: dict, queries: S.Queries, wanted: int, probes: int | None) -> DataFrame:
         """query_id, rank, id and distance of the best rows of the probed partitions, by exact distance or by that of codes."""
-        names, matrix, metric = np.array([q for q, _ in queries], np.int64), np.array([v for _, v in queries], np.float64), self.metric
-        asked = self._asked(about, queries, probes)
+        metric, asked = self.metric, self._asked(about, queries, probes)
         books = CodeBooks([np.array(b) for b in about["books"]]) if about["books"] is not None else None
-        shared = self.spark.sparkContext.broadcast((names, matrix, prepared(metric, matrix), asked, books))
+        # vectors that codes stand for are not quite of unit length; rows of equal codes tie, whatever the products' last digits
+        by, digits = (metric, None) if books is None else (Metric.L2 if metric is Metric.L2 else Metric.DOT, CODE_DIGITS)
+        shared = self.spark.sparkContext.broadcast((queries.names, queries.vectors, asked, books))
 
         def of(batches):
-            names, matrix, unit, asked, books = shared.value
-            best = S.Best(len(names), wanted)
+            names, vectors, asked, books = shared.value
+            sought = Side(by, vectors if books is None else prepared(metric, vectors))
+            best = S.Best(len(names), wanted, digits)
             for batch in batches:
                 if not batch.num_rows:
                     continue
@@ -302,23 +303,22 @@ class VectorIndex:
                 if books is None:
                     x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
                 else:
-                    x = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(batch.num_rows, -1)
+                    x = books.decode(np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(batch.num_rows, -1))
                 for cell in np.unique(own):
-                    at, who = np.flatnonzero(own == cell), np.flatnonzero(asked[:, cell])
-                    if len(who):
-                        near = matrix_distances(metric, x[at], matrix[who]) if books is None else np.stack([books.distances(x[at], unit[i], metric) for i in who], axis=1)
-                        best.add(who, ids[at], near)
+                    at = np.flatnonzero(own == cell)
+                    best.scan(np.flatnonzero(asked[:, cell]), sought, ids[at], Side(by, x[at]))
             yield from best.batches(names)
 
-        parts = self._parts(about, np.flatnonzero(asked.any(axis=0)))
-        return S.merged_best(parts.select("id", "vector" if books is None else "codes", "partition_id").mapInArrow(of, S.BEST), wanted)
+        parts = self._parts(about, np.flatnonzero(asked.any(axis=0))).select("id", "vector" if books is None else "codes", "partition_id")
+        return S.merged_best(S.spread(parts, queries).mapInArrow(of, S.BEST), wanted)
 
-    def _batch(self, about: dict, queries: list[tuple[int, list[float]]], k: int, probes: int | None) -> DataFrame:
+    def _batch(self, about: dict, queries: S.Queries, k: int, probes: int | None) -> DataFrame:
         if about["books"] is None:
             found = self._ranked(about, queries, k, probes)
         else:  # ranked again by exact distance; an id may stand for several rows
             named = self._ranked(about, queries, k * about["again"], probes).select("query_id", "id").distinct()
-            vectors = self.spark.createDataFrame([(q, [float(x) for x in v]) for q, v in queries], "query_id long, query array<double>")
+            lists = pa.FixedSizeListArray.from_arrays(pa.array(queries.vectors.astype(np.float64).ravel()), self.dimension).cast(pa.list_(pa.float64()))
+            vectors = self.spark.createDataFrame(pa.table({"query_id": pa.array(queries.names), "query": lists}))
             probed = np.flatnonzero(self._asked(about, queries, probes).any(axis=0))
             exact = self._parts(about, probed).select("id", "vector").join(named, "id").join(F.broadcast(vectors), "query_id")
             found = S.merged_best(exact.select("query_id", "id", distance(self.metric, F.col("vector"), F.col("query")).alias("distance")), k)

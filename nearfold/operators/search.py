@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import time
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -10,14 +11,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..errors import DimensionMismatch, SchemaViolation
-from ..functions.distance import distance_to, matrix_distances
+from ..functions.distance import Side, distance_to
 from ..functions.values import metadata_json
 from ..plans.admission import GATE, AdmissionGate
 from ..plans.predicates import Predicate, compile_predicate, from_json, selectivity_categories, validate
 from ..types import MetadataSchema, Metric, SearchOptions, TableSpec
 
-#: Bytes of query vectors that one job broadcasts; more queries take more jobs.
+#: Bytes of query vectors, or of their neighbours so far, that one block of queries takes; more queries take more blocks.
 QUERY_BYTES = 64 << 20
+#: Rows and distances (of some of the queries to those rows) that a task works on at a time, whatever the number of queries.
+TILE_ROWS, TILE = 8_192, 1 << 20
+#: From so many queries on, products take far longer than moving the rows, so rows are dealt evenly to the cores first.
+SPREAD = 1_024
 
 
 def nearest(rows: DataFrame, query: list[float], metric: Metric, k: int, zero_norm: float = 1.0, digits: int | None = None, tie: list[str] | None = None) -> DataFrame:
@@ -116,33 +121,91 @@ def profile_counts(log: DataFrame, tombstones: DataFrame | None, predicate: Colu
 BEST = "query_id long, id long, distance double"
 
 
+@dataclass(frozen=True)
+class Queries:
+    """Ids and vectors (a row each) of many queries."""
+
+    names: np.ndarray
+    vectors: np.ndarray
+
+    @classmethod
+    def of(cls, queries: Queries | list[tuple[int, list[float]]]) -> Queries:
+        return queries if isinstance(queries, Queries) else cls(np.array([q for q, _ in queries], np.int64), np.array([v for _, v in queries], np.float64))
+
+    @classmethod
+    def collect(cls, rows: DataFrame) -> Queries:
+        """The rows (id, vector) in the order of their ids."""
+        got = rows.select("id", "vector").toArrow().combine_chunks().sort_by("id")
+        vectors = got["vector"].combine_chunks()
+        return cls(got["id"].to_numpy().astype(np.int64), vectors.flatten().to_numpy().reshape(len(vectors), -1) if len(vectors) else np.zeros((0, 0)))
+
+    def __len__(self) -> int:
+        return len(self.names)
+
+    def __getitem__(self, some: slice) -> Queries:
+        return Queries(self.names[some], self.vectors[some])
+
+    def __iter__(self):
+        return zip(self.names.tolist(), map(np.ndarray.tolist, self.vectors))
+
+    def blocks(self, k: int) -> list[Queries]:
+        """Blocks whose vectors, and k neighbours so far, take QUERY_BYTES each at most."""
+        each = max(1, QUERY_BYTES // (8 * max(self.vectors.shape[1], 2 * k)))
+        return [self[at : at + each] for at in range(0, len(self), each)]
+
+
 class Best:
-    """The k nearest rows of each of n queries so far."""
+    """The k nearest rows of each of n queries so far; distances are rounded to digits before they are compared."""
 
-    def __init__(self, n: int, k: int):
-        self.k = k
-        self.ids = [np.zeros(0, np.int64)] * n
-        self.near = [np.zeros(0)] * n
+    def __init__(self, n: int, k: int, digits: int | None = None):
+        self.k, self.digits = k, digits
+        self.have = np.zeros(n, np.int64)
+        self.ids, self.near = np.zeros((n, k), np.int64), np.full((n, k), np.nan)
 
     def add(self, who: np.ndarray, ids: np.ndarray, distances: np.ndarray) -> None:
-        """Rows with their distances to the queries numbered who, a column for each."""
+        """Rows with their distances to the queries numbered who, a line of distances for each of those."""
+        slack = 0.0 if self.digits is None else 10.0**-self.digits
+        bars = np.where(self.have[who] == self.k, self.near[who, -1], np.nan)  # nothing is above NaN
+        if len(ids) > 4 * self.k and np.isnan(bars).any():  # all but the k nearest and their ties go at once
+            bars = np.fmin(bars, np.partition(distances, self.k - 1, axis=1)[:, self.k - 1])
+        at, some = np.nonzero(~(distances > (bars + slack)[:, None]))
+        if not len(at):
+            return
+        near = distances[at, some]
+        near = near if self.digits is None else np.round(near, self.digits) + 0.0
+        fresh, at = np.unique(at, return_inverse=True)
+        old = who[fresh]
+        known = np.arange(self.k) < self.have[old][:, None]
+        at, own, near = np.r_[at, np.nonzero(known)[0]], np.r_[ids[some], self.ids[old][known]], np.r_[near, self.near[old][known]]
+        order = np.lexsort((own, near, at))
+        at, own, near = at[order], own[order], near[order]
+        count = np.bincount(at, minlength=len(old))
+        place = np.arange(len(at)) - np.repeat(np.cumsum(count) - count, count)
+        best = place < self.k
+        self.ids[old[at[best]], place[best]], self.near[old[at[best]], place[best]] = own[best], near[best]
+        self.have[old] = np.minimum(count, self.k)
+
+    def scan(self, who: np.ndarray, queries: Side, ids: np.ndarray, rows: Side, zero_norm: float = 1.0) -> None:
+        """Adds rows for the queries numbered who, a tile of distances at a time."""
         ids = ids.astype(np.int64, copy=False)
-        if len(ids) > 4 * self.k:  # all but the k nearest and their ties go at once
-            bars = np.partition(distances, self.k - 1, axis=0)[self.k - 1]
-        else:
-            bars = np.full(len(who), np.inf)
-        for c, j in enumerate(who):
-            bar = bars[c] if len(self.near[j]) < self.k else min(bars[c], self.near[j][-1])
-            some = np.flatnonzero(~(distances[:, c] > bar))
-            if len(some):
-                near, own = np.r_[self.near[j], distances[some, c]], np.r_[self.ids[j], ids[some]]
-                best = np.lexsort((own, near))[: self.k]
-                self.near[j], self.ids[j] = near[best], own[best]
+        for i in range(0, len(rows), TILE_ROWS):
+            part = rows[i : i + TILE_ROWS]
+            each = max(1, TILE // len(part))
+            for j in range(0, len(who), each):
+                self.add(who[j : j + each], ids[i : i + TILE_ROWS], queries[who[j : j + each]].distances(part, zero_norm))
 
     def batches(self, names: np.ndarray):
-        lens = [len(x) for x in self.ids]
-        if sum(lens):
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(names, lens)), pa.array(np.concatenate(self.ids)), pa.array(np.concatenate(self.near))], names=["query_id", "id", "distance"])
+        each = max(1, TILE // self.k)
+        for i in range(0, len(names), each):
+            have = self.have[i : i + each]
+            known = np.arange(self.k) < have[:, None]
+            if have.any():
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(names[i : i + each], have)), pa.array(self.ids[i : i + each][known]), pa.array(self.near[i : i + each][known])], names=["query_id", "id", "distance"])
+
+
+def spread(rows: DataFrame, queries: Queries) -> DataFrame:
+    """rows, a like number of them for each core where there are many queries."""
+    return rows.repartition(rows.sparkSession.sparkContext.defaultParallelism) if len(queries) >= SPREAD else rows
 
 
 def merged_best(found: DataFrame, k: int) -> DataFrame:
@@ -151,41 +214,39 @@ def merged_best(found: DataFrame, k: int) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k).select("query_id", "rank", "id", "distance")
 
 
-def batch_knn(rows: DataFrame, queries: list[tuple[int, list[float]]], metric: Metric, k: int, zero_norm: float = 1.0, digits: int | None = None) -> DataFrame:
+def batch_knn(rows: DataFrame, queries: Queries | list[tuple[int, list[float]]], metric: Metric, k: int, zero_norm: float = 1.0, digits: int | None = None) -> DataFrame:
     """query_id, rank (from 1), id, distance: the k nearest rows of every query; ties by id.
 
-    Each task multiplies its Arrow batches with a block of queries, keeps k rows a query, and one shuffle of those by
-    query_id merges the tasks' results. More queries than QUERY_BYTES hold take more blocks.
+    Each task multiplies its Arrow batches with a block of queries, tile by tile, keeps k rows a query, and one shuffle
+    of those by query_id merges the tasks' results. More queries than QUERY_BYTES hold take more blocks.
     """
-    if not queries:
+    queries = Queries.of(queries)
+    if not len(queries):
         return rows.sparkSession.createDataFrame([], "query_id long, rank long, id long, distance double")
-    each = max(1, QUERY_BYTES // (8 * len(queries[0][1])))
-    parts = [_knn_block(rows, queries[at : at + each], metric, k, zero_norm, digits) for at in range(0, len(queries), each)]
+    rows = spread(rows.select("id", "vector"), queries)
+    parts = [_knn_block(rows, block, metric, k, zero_norm, digits) for block in queries.blocks(k)]
     found = parts[0]
     for part in parts[1:]:
         found = found.union(part)
     return merged_best(found, k)
 
 
-def _knn_block(rows: DataFrame, queries, metric: Metric, k: int, zero_norm: float, digits: int | None) -> DataFrame:
-    names = np.array([q for q, _ in queries], np.int64)
-    matrix = rows.sparkSession.sparkContext.broadcast(np.array([v for _, v in queries], np.float64))
+def _knn_block(rows: DataFrame, queries: Queries, metric: Metric, k: int, zero_norm: float, digits: int | None) -> DataFrame:
+    shared = rows.sparkSession.sparkContext.broadcast((queries.names, queries.vectors))
 
     def of(batches):
-        best, everyone = Best(len(names), k), np.arange(len(names))
+        names, vectors = shared.value
+        best, everyone, asked = Best(len(names), k, digits), np.arange(len(names)), Side(metric, vectors)
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            for i in range(0, len(ids), 4096):
-                vectors = batch.column(1).slice(i, 4096)
-                block = vectors.flatten().to_numpy(zero_copy_only=False).reshape(len(vectors), -1)
-                d = matrix_distances(metric, block, matrix.value, zero_norm)
-                best.add(everyone, ids[i : i + 4096], d if digits is None else np.round(d, digits) + 0.0)
+            if batch.num_rows:
+                x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+                best.scan(everyone, asked, batch.column(0).to_numpy(zero_copy_only=False), Side(metric, x), zero_norm)
         yield from best.batches(names)
 
-    return rows.select("id", "vector").mapInArrow(of, BEST)
+    return rows.mapInArrow(of, BEST)
 
 
-def ground_truth(rows: DataFrame, queries: list[tuple[int, list[float]]], metric: Metric, k: int, zero_norm: float = float("inf"), digits: int | None = None) -> DataFrame:
+def ground_truth(rows: DataFrame, queries: Queries | list[tuple[int, list[float]]], metric: Metric, k: int, zero_norm: float = float("inf"), digits: int | None = None) -> DataFrame:
     """query_id, ids and distances as arrays, the nearest first."""
     found = batch_knn(rows, queries, metric, k, zero_norm, digits)
     packed = found.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("rank", "id", "distance"))).alias("all"))

@@ -182,9 +182,9 @@ def batch_sql(where: str = "true", k: int = 10) -> str:
     return f"WITH p AS ({_PAIRS}), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS rank FROM p WHERE {where}) SELECT query_id, rank, id, distance FROM r WHERE rank <= {k}"
 
 
-def batch_queries(rows: DataFrame) -> list[tuple[int, list[float]]]:
+def batch_queries(rows: DataFrame) -> S.Queries:
     """The stated set of queries: every row whose id is divisible by 20, against all rows."""
-    return [(r["id"], list(r["vector"])) for r in rows.where("id % 20 = 0").select("id", "vector").orderBy("id").collect()]
+    return S.Queries.collect(rows.where("id % 20 = 0"))
 
 
 @register("batch_knn", batch_sql())
